@@ -60,7 +60,7 @@ def overview_sql(cols: list[str]) -> str:
 
 def quick_numeric(s, d):
     got = P.column_quick_stats(load(s, d, "lineitem"))
-    return rounded(got.filter("type = 'numeric'").select("column", "min", "p50", "max", "mean", "std"), 6, "mean", "std")
+    return rounded(got.filter("type = 'numeric'").select("column", "min", "p50", "max", "mean", "std"), 9, "mean", "std")
 
 
 def quick_levels(s, d):
@@ -125,8 +125,6 @@ QUERIES = {
     "s06_quick_stats_boolean": quick_logical,
     "s07_dataset_meta": meta,
     "s08_suggest_actions": actions,
-    "s10_dtypes_table": lambda s, d: P.dtypes_table(load(s, d, "lineitem")),
-    "s10_type_counts": lambda s, d: P.type_counts(load(s, d, "lineitem")),
     "s11_datasets_overview": comparison,
     "s12_cardinality": lambda s, d: P.cardinality(orders_gaps(s, d), ORDERS_COLS, "unique"),
     "s12_cardinality_missing": lambda s, d: P.cardinality(orders_gaps(s, d), ORDERS_COLS, "missing"),
@@ -246,7 +244,7 @@ ORACLES = {
     "s06_quick_stats_numeric": union(
         [
             f"SELECT '{c}' AS \"column\", CAST(min({c}) AS DOUBLE) AS \"min\", CAST(median({c}) AS DOUBLE) AS p50, "
-            f"CAST(max({c}) AS DOUBLE) AS \"max\", round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std FROM lineitem"
+            f"CAST(max({c}) AS DOUBLE) AS \"max\", round(avg({c}), 9) AS mean, round(stddev_pop({c}), 9) AS std FROM lineitem"
             for c in _NUM
         ]
     ),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import profiles
+from . import associations, distributions, profiles
 
-FAMILIES = [profiles]
+FAMILIES = [profiles, distributions, associations]
 
 
 def queries() -> dict:

@@ -50,30 +50,33 @@ def spark_format(fmt: str) -> str:
     return out
 
 
-def timestamp_from_text(c: Column, fmt: str | None = None, day_first: bool = False) -> Column:
-    """Timestamp of a text cell, null when no format fits."""
-    c = F.trim(c)
+def timestamp_sql(c: str, fmt: str | None = None, day_first: bool = False) -> str:
+    """SQL text of a text cell as timestamp, null when no format fits."""
     if fmt:
-        return F.try_to_timestamp(c, F.lit(spark_format(fmt)))
+        return f'try_to_timestamp(trim({c}), "{spark_format(fmt)}")'
     formats = ISO_FORMATS + (DAY_FIRST_FORMATS if day_first else MONTH_FIRST_FORMATS)
     # the pattern test keeps the parser away from cells that cannot fit
-    return F.coalesce(*[F.when(c.rlike(p), F.try_to_timestamp(c, F.lit(f))) for p, f in formats])
+    cases = " ".join(f"""WHEN trim({c}) RLIKE r'{p}' THEN try_to_timestamp(trim({c}), "{f}")""" for p, f in formats)
+    return f"CASE {cases} END"
 
 
-def to_datetime(
+def datetime_sql(
     df: DataFrame, name: str, fmt: str | None = None, day_first: bool = False, utc: bool = False
-) -> Column:
-    """Any column as a time: zone-free unless ``utc`` asks for an instant."""
-    dt = S.dtype_of(df, name)
-    c = S.q(name)
+) -> str:
+    """SQL text of any column as a time: zone-free unless ``utc`` asks for an instant."""
+    dt, c = S.dtype_of(df, name), S.sql_name(name)
     if isinstance(dt, T.TimestampType):
         return c
     if S.is_datetime(dt):
-        ts = c.cast("timestamp_ntz")
+        ts = f"CAST({c} AS TIMESTAMP_NTZ)"
     elif S.is_string(dt):
-        ts = timestamp_from_text(c, fmt, day_first).cast("timestamp_ntz")
+        ts = f"CAST({timestamp_sql(c, fmt, day_first)} AS TIMESTAMP_NTZ)"
     else:
         raise TypeError(f"column {name!r} of type {dt.simpleString()} holds no dates")
-    if utc:
-        return F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts).cast("timestamp")
-    return ts
+    return f"CAST(convert_timezone('UTC', current_timezone(), {ts}) AS TIMESTAMP)" if utc else ts
+
+
+def to_datetime(
+    df: DataFrame, name: str, fmt: str | None = None, day_first: bool = False, utc: bool = False
+) -> Column:
+    return F.expr(datetime_sql(df, name, fmt, day_first, utc))

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import schema as S
+from .wide import to_rows
 
 
 def _family(dt: T.DataType) -> str:
@@ -32,22 +33,20 @@ def families(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
     return out
 
 
-def _value(df: DataFrame, name: str, family: str) -> Column:
-    dt = S.dtype_of(df, name)
-    c = S.q(name)
-    if S.is_float(dt):
-        c = F.nanvl(c, F.lit(None).cast(dt))
-    if S.is_nested(dt):
-        return S.groupable(c, dt)
-    return c.cast(family)
+def _plain(df: DataFrame, cols: list[str], family: str) -> DataFrame:
+    """The columns as v0, v1, … in the type of their family."""
+    if S.is_nested(S.dtype_of(df, cols[0])):
+        return df.select(*[S.groupable(S.q(c), S.dtype_of(df, c)).alias(f"v{i}") for i, c in enumerate(cols)])
+    if family == "double":
+        return df.selectExpr(*[f"{S.double_sql(df, c)} AS v{i}" for i, c in enumerate(cols)])
+    return df.selectExpr(*[f"CAST({S.sql_name(c)} AS {family}) AS v{i}" for i, c in enumerate(cols)])
 
 
 def level_counts(df: DataFrame, cols: list[str], family: str) -> DataFrame:
     """(column_no, value, n) for the columns of one type family; null is a level."""
-    pairs = F.array(
-        *[F.struct(F.lit(i).alias("column_no"), _value(df, c, family).alias("value")) for i, c in enumerate(cols)]
-    )
-    return df.select(F.inline(pairs)).groupBy("column_no", "value").agg(F.count(F.lit(1)).alias("n"))
+    plain = _plain(df, cols, family)
+    pairs = ", ".join(f"struct({i} AS column_no, v{i} AS value)" for i in range(len(cols)))
+    return plain.selectExpr(f"inline(array({pairs}))").groupBy("column_no", "value").agg(F.expr("count(1) AS n"))
 
 
 def name_of(cols: list[str]) -> Column:
@@ -59,34 +58,24 @@ def distinct_counts(df: DataFrame, cols: list[str] | None = None, approx: bool =
     cols = list(df.columns if cols is None else cols)
     S.require(df, cols)
     if approx:
-        aggs = [F.approx_count_distinct(S.group_column(df, c)).alias(f"u{i}") for i, c in enumerate(cols)]
-        aggs += [F.bool_or(S.q(c).isNull()).alias(f"h{i}") for i, c in enumerate(cols)]
-        rows = F.array(
-            *[
-                F.struct(F.lit(c).alias("column"), F.col(f"u{i}").alias("unique"), F.col(f"h{i}").alias("has_null"))
-                for i, c in enumerate(cols)
-            ]
-        )
-        return S.nan_to_null(df).agg(*aggs).select(F.inline(rows))
+        clean = S.nan_to_null(df)
+        plain = clean.select(*[S.group_column(clean, c).alias(f"v{i}") for i, c in enumerate(cols)])
+        parts = [f"approx_count_distinct(v{i}) AS u{i}" for i in range(len(cols))]
+        parts += [f"coalesce(bool_or(v{i} IS NULL), false) AS h{i}" for i in range(len(cols))]
+        rows = [{"column": S.sql_text(c), "unique": f"u{i}", "has_null": f"h{i}"} for i, c in enumerate(cols)]
+        return to_rows(plain.selectExpr(*parts), rows)
     parts = []
     for family, members in families(df, cols).items():
         found = (
             level_counts(df, members, family)
             .groupBy("column_no")
-            .agg(
-                F.count_if(F.col("value").isNotNull()).alias("unique"),
-                F.bool_or(F.col("value").isNull()).alias("has_null"),
-            )
+            .agg(F.expr("count(value) AS `unique`"), F.expr("bool_or(value IS NULL) AS has_null"))
         )
         # an empty table has no levels: the name list keeps such columns with 0
         parts.append(
             all_columns(df, members)
             .join(F.broadcast(found), "column_no", "left")
-            .select(
-                "column",
-                F.coalesce("unique", F.lit(0)).cast("bigint").alias("unique"),
-                F.coalesce("has_null", F.lit(False)).alias("has_null"),
-            )
+            .selectExpr("column", "coalesce(`unique`, 0L) AS `unique`", "coalesce(has_null, false) AS has_null")
         )
     return reduce(DataFrame.unionByName, parts)
 
@@ -99,12 +88,9 @@ def all_columns(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def modes(df: DataFrame, cols: list[str], family: str) -> DataFrame:
     """(column, top, top_count): most frequent non-null value, ties to the smallest."""
-    counts = level_counts(df, cols, family).filter(F.col("value").isNotNull())
-    order = F.struct((-F.col("n")).alias("k"), F.col("value").alias("v"))
-    best = counts.groupBy("column_no").agg(F.min(order).alias("b"))
-    return best.select(
-        name_of(cols).alias("column"), F.col("b.v").alias("top"), (-F.col("b.k")).alias("top_count")
-    )
+    counts = level_counts(df, cols, family).filter("value IS NOT NULL")
+    best = counts.groupBy("column_no").agg(F.expr("min(struct(-n AS k, value AS v)) AS b"))
+    return best.select(name_of(cols).alias("column"), F.expr("b.v AS top"), F.expr("-b.k AS top_count"))
 
 
 def mode_values(df: DataFrame, cols: list[str]) -> dict[str, object]:

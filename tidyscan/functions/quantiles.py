@@ -12,7 +12,9 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
+
+from .schema import sql_double
 
 SAMPLE_VALUES = 40_000  # values sampled per bracket and pass
 INSIDE_LIMIT = 100_000  # values that may be read from one bracket
@@ -32,12 +34,12 @@ class _Target:
     def open_ranks(self) -> list[int]:
         return [r for r in sorted(set(self.ranks)) if r not in self.found]
 
-    def within(self, x: Column) -> Column:
-        cond = x.isNotNull()
+    def within(self, x: str) -> str:
+        cond = f"{x} IS NOT NULL"
         if self.lo is not None:
-            cond = cond & (x > F.lit(self.lo))
+            cond += f" AND {x} > {sql_double(self.lo)}"
         if self.hi is not None:
-            cond = cond & (x < F.lit(self.hi))
+            cond += f" AND {x} < {sql_double(self.hi)}"
         return cond
 
 
@@ -48,28 +50,25 @@ def _positions(n: int, p: float) -> tuple[float, int, int]:
 
 def quantiles(
     df: DataFrame,
-    exprs: dict[str, Column],
+    exprs: dict[str, str],
     probs: list[float] | dict[str, list[float]],
-    extra: list[Column] | None = None,
+    extra: list[str] | None = None,
 ) -> tuple[dict[str, list[float | None]], dict]:
-    """Exact, linearly interpolated quantiles of each expression over its non-null values.
+    """Exact, linearly interpolated quantiles of each SQL expression over its non-null values.
 
     Returns the quantiles per name, and a dictionary with the non-null count of each name
     under ``n`` and the values of the ``extra`` aggregates, which ride on the counting job.
     """
     names = list(exprs)
     per_name = probs if isinstance(probs, dict) else {k: list(probs) for k in names}
-    base = df.select("*", *[exprs[k].cast("double").alias(f"__q{i}") for i, k in enumerate(names)])
-    x = {k: F.col(f"__q{i}") for i, k in enumerate(names)}
-    head = base.agg(
-        F.count(F.lit(1)).alias("__rows"),
-        *[F.count(x[k]).alias(f"__n{i}") for i, k in enumerate(names)],
-        *(extra or []),
-    ).first().asDict()
+    base = df.selectExpr("*", *[f"CAST({exprs[k]} AS DOUBLE) AS __q{i}" for i, k in enumerate(names)])
+    x = {k: f"__q{i}" for i, k in enumerate(names)}
+    counts = [f"count({x[k]}) AS __n{i}" for i, k in enumerate(names)]
+    head = base.selectExpr("count(1) AS __rows", *counts, *(extra or [])).first().asDict()
     n = {k: head.pop(f"__n{i}") for i, k in enumerate(names)}
     info = {"rows": head.pop("__rows"), "n": n, **head}
 
-    narrow = base.select(*[x[k] for k in names])
+    narrow = base.select(*x.values())
     targets: list[_Target] = []
     for k in names:
         if n[k]:
@@ -92,17 +91,15 @@ def quantiles(
     return result, info
 
 
-def _tagged(df: DataFrame, x: dict[str, Column], groups: list[_Target], keep) -> dict[int, np.ndarray]:
-    """Values of each bracket, read in one pass as (bracket, value) pairs."""
-    if not groups:
-        return {}
-    pairs = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.when(t.within(x[t.name]) & keep(i, t), x[t.name]).alias("v"))
-            for i, t in enumerate(groups)
-        ]
-    )
-    got = df.select(F.inline(pairs)).filter(F.col("v").isNotNull()).toArrow()
+def _tagged(df: DataFrame, x: dict[str, str], groups: list[_Target], share: bool = False) -> dict[int, np.ndarray]:
+    """Values of each bracket, or a random share of them, read in one pass as (bracket, value) pairs."""
+    pairs = []
+    for i, t in enumerate(groups):
+        cond = t.within(x[t.name])
+        if share and t.inside > SAMPLE_VALUES:
+            cond += f" AND rand({17 + i}) < {sql_double(SAMPLE_VALUES / t.inside)}"
+        pairs.append(f"struct({i} AS i, CASE WHEN {cond} THEN {x[t.name]} END AS v)")
+    got = df.selectExpr(f"inline(array({', '.join(pairs)}))").filter("v IS NOT NULL").toArrow()
     tag, val = got["i"].to_numpy(), got["v"].to_numpy()
     return {i: np.sort(val[tag == i]) for i in range(len(groups))}
 
@@ -115,7 +112,7 @@ def _brackets(targets: list[_Target]) -> list[tuple[_Target, list[_Target]]]:
     return [(ts[0], ts) for ts in shared.values()]
 
 
-def _select(df: DataFrame, x: dict[str, Column], targets: list[_Target]) -> None:
+def _select(df: DataFrame, x: dict[str, str], targets: list[_Target]) -> None:
     while True:
         pending = [t for t in targets if t.open_ranks]
         if not pending:
@@ -125,19 +122,16 @@ def _select(df: DataFrame, x: dict[str, Column], targets: list[_Target]) -> None
             _narrow(df, x, wide)
             continue
         shared = _brackets(pending)
-        values = _tagged(df, x, [head for head, _ in shared], lambda i, t: F.lit(True))
+        values = _tagged(df, x, [head for head, _ in shared])
         for i, (_, members) in enumerate(shared):
             for t in members:
                 for r in t.open_ranks:
                     t.found[r] = float(values[i][r - t.below])
 
 
-def _narrow(df: DataFrame, x: dict[str, Column], wide: list[_Target]) -> None:
+def _narrow(df: DataFrame, x: dict[str, str], wide: list[_Target]) -> None:
     shared = _brackets(wide)
-    samples = _tagged(
-        df, x, [head for head, _ in shared],
-        lambda i, t: F.rand(17 + i) < F.lit(min(1.0, SAMPLE_VALUES / t.inside)),
-    )
+    samples = _tagged(df, x, [head for head, _ in shared], share=True)
     proposals: list[tuple[_Target, float | None, float | None]] = []
     for i, (_, members) in enumerate(shared):
         s = samples[i]
@@ -157,14 +151,13 @@ def _narrow(df: DataFrame, x: dict[str, Column], wide: list[_Target]) -> None:
     aggs = []
     for i, (t, lo, hi) in enumerate(proposals):
         v = x[t.name]
-        for tag, cond in (
-            ("a", v < F.lit(lo)) if lo is not None else ("a", F.lit(False)),
-            ("b", v <= F.lit(lo)) if lo is not None else ("b", F.lit(False)),
-            ("c", v < F.lit(hi)) if hi is not None else ("c", v.isNotNull()),
-            ("d", v <= F.lit(hi)) if hi is not None else ("d", v.isNotNull()),
-        ):
-            aggs.append(F.count_if(cond).alias(f"{tag}{i}"))
-    row = df.agg(*aggs).first()
+        aggs += [
+            f"count_if({v} < {sql_double(lo)}) AS a{i}" if lo is not None else f"0 AS a{i}",
+            f"count_if({v} <= {sql_double(lo)}) AS b{i}" if lo is not None else f"0 AS b{i}",
+            f"count_if({v} < {sql_double(hi)}) AS c{i}" if hi is not None else f"count({v}) AS c{i}",
+            f"count_if({v} <= {sql_double(hi)}) AS d{i}" if hi is not None else f"count({v}) AS d{i}",
+        ]
+    row = df.selectExpr(*aggs).first()
     for i, (t, lo, hi) in enumerate(proposals):
         lt_lo, le_lo, lt_hi, le_hi = row[f"a{i}"], row[f"b{i}"], row[f"c{i}"], row[f"d{i}"]
         for r in t.open_ranks:

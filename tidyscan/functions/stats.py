@@ -17,13 +17,8 @@ def pearson_expr(x: Column, y: Column, min_rows: int = 2) -> Column:
     return F.when(F.count_if(ok) >= min_rows, r)
 
 
-def sample_skewness(c: Column) -> Column:
+def skewness_sql(x: str) -> str:
     """Bias-corrected skewness; null below three values, 0 for a constant column."""
-    n = F.count(c).cast("double")
-    spread = F.var_pop(c)
-    raw = F.when(spread == 0, F.lit(0.0)).otherwise(F.skewness(F.when(c.isNotNull(), c)))
-    return F.when(F.count(c) >= 3, raw * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))
-
-
-def one_row(spark, values: dict, schema: str):
-    return spark.createDataFrame([tuple(values.values())], schema)
+    n = f"CAST(count({x}) AS DOUBLE)"
+    raw = f"CASE WHEN var_pop({x}) > 0 THEN skewness({x}) ELSE 0D END"
+    return f"CASE WHEN count({x}) >= 3 THEN ({raw}) * sqrt({n} * ({n} - 1)) / nullif({n} - 2, 0D) END"

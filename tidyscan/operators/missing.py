@@ -64,10 +64,10 @@ def _constant(df: DataFrame, name: str, value) -> Column:
     if value is None or S.is_string(dt):
         return F.lit("" if value is None and S.is_string(dt) else value).cast(dt)
     if S.is_datetime(dt):
-        made = dates.timestamp_from_text(F.lit(value)) if isinstance(value, str) else F.lit(value)
-        return made.cast(dt)
+        made = F.expr(dates.timestamp_sql(S.sql_text(value))) if isinstance(value, str) else F.lit(value)
+        return made.cast("timestamp_ntz").cast(dt)
     if S.is_numeric(dt) and isinstance(value, str):
-        return S.number_from_text(F.lit(value))
+        return F.expr(S.number_sql(S.sql_text(value)))
     return F.lit(value)
 
 
@@ -93,20 +93,11 @@ def fill_missing(
             raise ValueError(f"{step['method']!r} does not fit column {c!r}: choose from {allowed}")
 
     want = lambda *methods: [c for c, s in steps.items() if s["method"] in methods]
-    aggs = [F.count(S.q(c)).alias(f"n{i}") for i, c in enumerate(steps)]
-    aggs.append(F.count(F.lit(1)).alias("all_rows"))
-    for c in want("mean"):
-        aggs.append(F.avg(S.as_double(df, c)).alias(f"mean {c}"))
-    for c in want("min"):
-        aggs.append(F.min(S.q(c)).alias(f"min {c}"))
-    for c in want("max"):
-        aggs.append(F.max(S.q(c)).alias(f"max {c}"))
-    medians, facts = {}, {}
-    if want("median"):
-        medians, facts = quantiles(df, {c: S.as_double(df, c) for c in want("median")}, [0.5], aggs)
-    else:
-        facts = df.agg(*aggs).first().asDict()
-    gaps = {c for i, c in enumerate(steps) if facts[f"n{i}"] < facts["all_rows"]}
+    aggs = [f"count({S.sql_name(c)}) AS n{i}" for i, c in enumerate(steps)]
+    aggs += [f"avg({S.double_sql(df, c)}) AS {S.sql_name('mean ' + c)}" for c in want("mean")]
+    aggs += [f"{m}({S.sql_name(c)}) AS {S.sql_name(m + ' ' + c)}" for m in ("min", "max") for c in want(m)]
+    medians, facts = quantiles(df, {c: S.double_sql(df, c) for c in want("median")}, [0.5], aggs)
+    gaps = {c for i, c in enumerate(steps) if facts[f"n{i}"] < facts["rows"]}
     steps = {c: s for c, s in steps.items() if c in gaps}
     tops = frequency.mode_values(df, want("mode")) if want("mode") else {}
 

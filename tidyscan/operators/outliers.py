@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import schema as S
 from ..functions.quantiles import quantiles
+from ..functions.wide import to_rows
 
 _INF = float("inf")
 Bounds = dict[str, tuple[float, float]]
@@ -31,7 +32,7 @@ def compute_bounds(
 ) -> Bounds:
     """Lower and upper bound of each column; an empty or flat column is unbounded."""
     cols = _default_columns(df, cols)
-    x = {c: S.as_double(df, c) for c in cols}
+    x = {c: S.double_sql(df, c) for c in cols}
     free = (-_INF, _INF)
     if method == "iqr":
         k = 1.5 if k is None else k
@@ -41,8 +42,9 @@ def compute_bounds(
         }
     if method == "zscore":
         k = 3.0 if k is None else k
-        aggs = [e for i, c in enumerate(cols) for e in (F.avg(x[c]).alias(f"m{i}"), F.stddev_pop(x[c]).alias(f"s{i}"))]
-        row = df.agg(*aggs).first()
+        aggs = [f"avg({x[c]}) AS m{i}" for i, c in enumerate(cols)]
+        aggs += [f"stddev_pop({x[c]}) AS s{i}" for i, c in enumerate(cols)]
+        row = df.selectExpr(*aggs).first()
         out = {}
         for i, c in enumerate(cols):
             mean, sd = row[f"m{i}"], row[f"s{i}"]
@@ -51,7 +53,7 @@ def compute_bounds(
     if method == "mad":
         k = 3.5 if k is None else k
         centre = {c: v[0] for c, v in quantiles(df, x, [0.5])[0].items()}
-        known = {c: F.abs(x[c] - F.lit(m)) for c, m in centre.items() if m is not None}
+        known = {c: f"abs({x[c]} - {S.sql_double(m)})" for c, m in centre.items() if m is not None}
         spread = quantiles(df, known, [0.5])[0] if known else {}
         out = {}
         for c in cols:
@@ -67,8 +69,8 @@ def compute_bounds(
     raise ValueError("method is one of iqr, zscore, mad, percentile")
 
 
-def _outside(x: Column, bounds: tuple[float, float]) -> Column:
-    return (x < F.lit(bounds[0])) | (x > F.lit(bounds[1]))
+def _outside(x: str, bounds: tuple[float, float]) -> str:
+    return f"({x} < {S.sql_double(bounds[0])} OR {x} > {S.sql_double(bounds[1])})"
 
 
 def outlier_bounds(df: DataFrame, cols: list[str] | None = None, method: str = "iqr", **options) -> DataFrame:
@@ -81,17 +83,12 @@ def outlier_bounds(df: DataFrame, cols: list[str] | None = None, method: str = "
 def outlier_table(df: DataFrame, cols: list[str] | None = None, method: str = "iqr", **options) -> DataFrame:
     """(column, lower, upper, outliers): one pass counts all columns against their bounds."""
     found = compute_bounds(df, cols, method, **options)
-    counts = [F.count_if(_outside(S.as_double(df, c), b)).alias(f"n{i}") for i, (c, b) in enumerate(found.items())]
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column"), F.lit(a).alias("lower"), F.lit(b).alias("upper"),
-                F.col(f"n{i}").alias("outliers"),
-            )
-            for i, (c, (a, b)) in enumerate(found.items())
-        ]
-    )
-    return df.agg(*counts).select(F.inline(rows))
+    counts = [f"count_if({_outside(S.double_sql(df, c), b)}) AS n{i}" for i, (c, b) in enumerate(found.items())]
+    rows = [
+        {"column": S.sql_text(c), "lower": S.sql_double(a), "upper": S.sql_double(b), "outliers": f"n{i}"}
+        for i, (c, (a, b)) in enumerate(found.items())
+    ]
+    return to_rows(df.selectExpr(*counts), rows)
 
 
 def treat_outliers(
@@ -108,57 +105,56 @@ def treat_outliers(
     ``drop`` also removes rows with a missing value in a chosen column unless ``keep_nulls``.
     """
     found = bounds or compute_bounds(df, cols, method, **options)
-    x = {c: S.as_double(df, c) for c in found}
+    x = {c: S.double_sql(df, c) for c in found}
+    lo = {c: S.sql_double(a) for c, (a, _) in found.items()}
+    hi = {c: S.sql_double(b) for c, (_, b) in found.items()}
     if action == "drop":
-        keep = F.lit(True)
-        for c, (a, b) in found.items():
-            inside = (x[c] >= F.lit(a)) & (x[c] <= F.lit(b))
-            keep = keep & (inside | x[c].isNull() if keep_nulls else inside)
-        return df.filter(keep)
+        inside = [f"({x[c]} >= {lo[c]} AND {x[c]} <= {hi[c]})" for c in found]
+        if keep_nulls:
+            inside = [f"({t} OR {x[c]} IS NULL)" for c, t in zip(found, inside)]
+        return df.filter(" AND ".join(inside)) if inside else df
     if action == "clip":
-        make = lambda c, a, b: F.when(x[c].isNotNull(), F.greatest(F.least(x[c], F.lit(b)), F.lit(a)))
+        # greatest and least skip missing values, which must stay missing
+        made = {c: f"CASE WHEN {x[c]} IS NOT NULL THEN greatest(least({x[c]}, {hi[c]}), {lo[c]}) END" for c in found}
     elif action == "null":
-        make = lambda c, a, b: F.when(~_outside(x[c], (a, b)), x[c])
+        made = {c: f"CASE WHEN NOT {_outside(x[c], found[c])} THEN {x[c]} END" for c in found}
     else:
         raise ValueError("action is one of clip, null, drop")
-    return df.withColumns({c: make(c, a, b) for c, (a, b) in found.items()})
+    return df.withColumns({c: F.expr(e) for c, e in made.items()})
 
 
 def box_stats(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column, q1, median, q3, whisker_low, whisker_high, outliers) of a box plot."""
     cols = _default_columns(df, cols)
-    x = {c: S.as_double(df, c) for c in cols}
+    x = {c: S.double_sql(df, c) for c in cols}
     found, _ = quantiles(df, x, [0.25, 0.5, 0.75])
     aggs, rows = [], []
     for i, c in enumerate(cols):
         a, m, b = found[c]
-        lo, hi = (a - 1.5 * (b - a), b + 1.5 * (b - a)) if a is not None else (-_INF, _INF)
-        out = _outside(x[c], (lo, hi))
-        inside = F.when(~out, x[c])
-        aggs += [F.min(inside).alias(f"l{i}"), F.max(inside).alias(f"h{i}"), F.count_if(out).alias(f"n{i}")]
+        out = _outside(x[c], (a - 1.5 * (b - a), b + 1.5 * (b - a)) if a is not None else (-_INF, _INF))
+        inside = f"CASE WHEN NOT {out} THEN {x[c]} END"
+        aggs += [f"min({inside}) AS l{i}", f"max({inside}) AS h{i}", f"count_if({out}) AS n{i}"]
         rows.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                *[F.lit(v).cast("double").alias(k) for k, v in (("q1", a), ("median", m), ("q3", b))],
-                F.col(f"l{i}").alias("whisker_low"), F.col(f"h{i}").alias("whisker_high"),
-                F.col(f"n{i}").alias("outliers"),
-            )
+            {
+                "column": S.sql_text(c), "q1": S.sql_double(a), "median": S.sql_double(m), "q3": S.sql_double(b),
+                "whisker_low": f"l{i}", "whisker_high": f"h{i}", "outliers": f"n{i}",
+            }
         )
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+    return to_rows(df.selectExpr(*aggs), rows)
 
 
 def iqr_outlier_shares(df: DataFrame, cols: list[str]) -> dict[str, tuple[int, float]]:
     """Non-missing values and the share outside the IQR fences; 0 when the quartiles coincide."""
     if not cols:
         return {}
-    x = {c: S.as_double(df, c) for c in cols}
+    x = {c: S.double_sql(df, c) for c in cols}
     found, info = quantiles(df, x, [0.25, 0.75])
-    aggs = []
+    aggs = ["count(1) AS rows"]
     for i, c in enumerate(cols):
         a, b = found[c]
         if a is None or a == b:
-            aggs.append(F.lit(0).cast("bigint").alias(f"n{i}"))
+            aggs.append(f"0L AS n{i}")
         else:
-            aggs.append(F.count_if(_outside(x[c], (a - 1.5 * (b - a), b + 1.5 * (b - a)))).alias(f"n{i}"))
-    row = df.agg(F.count(F.lit(1)), *aggs).first()
+            aggs.append(f"count_if({_outside(x[c], (a - 1.5 * (b - a), b + 1.5 * (b - a)))}) AS n{i}")
+    row = df.selectExpr(*aggs).first()
     return {c: (info["n"][c], row[f"n{i}"] / info["n"][c] if info["n"][c] else 0.0) for i, c in enumerate(cols)}

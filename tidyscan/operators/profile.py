@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import dates, frequency, schema as S
 from ..functions.quantiles import quantiles
@@ -33,27 +33,23 @@ CLOUD_COST_COLUMNS = {"cost", "azure", "gcp", "snowflake"}
 
 def _row_groups(df: DataFrame) -> DataFrame:
     """Distinct rows with their multiplicity, nested cells by value."""
-    nulls = sum((S.q(c).isNull().cast("int") for c in df.columns), F.lit(0))
+    nulls = " + ".join(f"int({S.sql_name(c)} IS NULL)" for c in df.columns)
     keyed = S.nan_to_null(df).select(
         *[S.groupable(S.q(f.name), f.dataType).alias(f"c{i}") for i, f in enumerate(df.schema)],
-        nulls.alias("__nulls"),
+        F.expr(f"{nulls} AS __nulls"),
     )
     # the number of missing cells is a function of the row, so it joins the key for free
-    return keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("__n"))
+    return keyed.groupBy(*keyed.columns).agg(F.expr("count(1) AS __n"))
 
 
 def overview_stats(df: DataFrame) -> DataFrame:
     """rows, cols, missing_pct of all cells and n_duplicates, from one pass and one shuffle."""
     cols = len(df.columns)
-    clean = S.nan_to_null(df)
-    rows = F.coalesce(F.sum("__n"), F.lit(0))
-    cells = (rows * cols).cast("double")
-    missing = F.coalesce(F.sum(F.col("__n") * F.col("__nulls")), F.lit(0))
-    return _row_groups(clean).agg(
-        rows.cast("bigint").alias("rows"),
-        F.lit(cols).alias("cols"),
-        F.coalesce(F.try_divide(missing * 100.0, cells), F.lit(0.0)).alias("missing_pct"),
-        F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("bigint").alias("n_duplicates"),
+    return _row_groups(df).selectExpr(
+        "coalesce(sum(__n), 0L) AS rows",
+        f"{cols} AS cols",
+        f"coalesce(sum(__n * __nulls) * 100D / nullif(sum(__n) * {cols}, 0), 0D) AS missing_pct",
+        "coalesce(sum(__n - 1), 0L) AS n_duplicates",
     )
 
 
@@ -71,9 +67,7 @@ def missing_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column, rows, non_null, missing, missing_pct) for every column in one aggregation."""
     cols = list(df.columns if cols is None else cols)
     S.require(df, cols)
-    found = per_column(
-        S.nan_to_null(df), cols, {"rows": lambda c: F.count(F.lit(1)), "non_null": lambda c: F.count(S.q(c))}
-    )
+    found = per_column(S.nan_to_null(df), cols, {"rows": "count(1)", "non_null": "count({c})"})
     missing = F.col("rows") - F.col("non_null")
     return found.select("*", missing.alias("missing"), percent(missing, F.col("rows")).alias("missing_pct"))
 
@@ -112,34 +106,31 @@ class ColumnProfile:
         return 100.0 * (self.rows - self.non_null) / self.rows if self.rows else 0.0
 
 
-def _example(df: DataFrame, name: str) -> Column:
-    dt = S.dtype_of(df, name)
-    if S.is_nested(dt):
-        return F.any_value(F.to_json(S.q(name)), ignoreNulls=True) if not isinstance(dt, T.MapType) else (
-            F.any_value(S.stable_json(S.q(name), dt), ignoreNulls=True)
-        )
-    if isinstance(dt, (T.BinaryType, T.BooleanType)):
-        return F.any_value(S.q(name), ignoreNulls=True).cast("string")
-    return F.min(S.q(name)).cast("string")
+def _example_sql(df: DataFrame, name: str) -> str:
+    dt, c = S.dtype_of(df, name), S.sql_name(name)
+    if S.is_nested(dt) or isinstance(dt, (T.BinaryType, T.BooleanType)):
+        text = f"to_json({c})" if S.is_nested(dt) else f"CAST({c} AS STRING)"
+        return f"any_value({text}, true)"
+    return f"CAST(min({c}) AS STRING)"
 
 
 def profile_columns(df: DataFrame, approx: bool = False) -> list[ColumnProfile]:
-    """The profile every report of this module starts from: three jobs for any number of columns."""
+    """The profile every report of this module starts from; its jobs do not grow with the columns."""
     df = S.nan_to_null(df)
     text = [f.name for f in df.schema if S.is_string(f.dataType)]
     whole = [f.name for f in df.schema if S.is_integer(f.dataType)]
-    aggs = [F.count(F.lit(1)).alias("rows")]
+    aggs = ["count(1) AS rows"]
     for i, f in enumerate(df.schema):
-        aggs += [F.count(S.q(f.name)).alias(f"n{i}"), _example(df, f.name).alias(f"e{i}")]
+        c = S.sql_name(f.name)
+        aggs += [f"count({c}) AS n{i}", f"{_example_sql(df, f.name)} AS e{i}"]
         if f.name in whole:
-            aggs.append(F.coalesce(F.bool_and(S.q(f.name).isin(0, 1)), F.lit(True)).alias(f"b{i}"))
+            aggs.append(f"coalesce(bool_and({c} IN (0, 1)), true) AS b{i}")
         if f.name in text:
-            aggs.append(F.count(dates.timestamp_from_text(S.q(f.name))).alias(f"d{i}"))
-    lengths = {c: F.length(S.q(c)) for c in text}
-    if lengths:
-        medians, facts = quantiles(df, lengths, [0.5], aggs)
-    else:
-        medians, facts = {}, df.agg(*aggs).first().asDict()
+            aggs += [f"count({dates.timestamp_sql(c)}) AS d{i}", f"max(length({c})) AS l{i}"]
+    facts = df.selectExpr(*aggs).first().asDict()
+    # a column of short strings is no text whatever its median
+    long = [f.name for i, f in enumerate(df.schema) if (facts.get(f"l{i}") or 0) > TEXT_LENGTH]
+    medians = quantiles(df, {c: f"length({S.sql_name(c)})" for c in long}, [0.5])[0] if long else {}
     found = {r["column"]: r for r in frequency.distinct_counts(df, approx=approx).collect()}
     out = []
     for i, f in enumerate(df.schema):
@@ -153,7 +144,7 @@ def profile_columns(df: DataFrame, approx: bool = False) -> list[ColumnProfile]:
             kind = "datetime"
         elif S.is_nested(f.dataType):
             kind = "nested"
-        elif f.name in text and n and medians[f.name][0] > TEXT_LENGTH and unique > TEXT_LEVELS:
+        elif f.name in long and n and medians[f.name][0] > TEXT_LENGTH and unique > TEXT_LEVELS:
             kind = "text"
         else:
             kind = "categorical"
@@ -191,21 +182,17 @@ def column_quick_stats(df: DataFrame, profile: list[ColumnProfile] | None = None
     logical = [p.column for p in profile if p.type == "boolean"]
     levels = [p.column for p in profile if p.type in ("categorical", "text")]
     at = {c: i for i, c in enumerate(df.columns)}
-    aggs = []
+    aggs = ["count(1) AS rows"]
     for c in numeric:
-        x = S.as_double(df, c)
-        for name, fn in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_pop)):
-            aggs.append(fn(x).alias(f"{name}{at[c]}"))
+        for name, fn in (("min", "min"), ("max", "max"), ("mean", "avg"), ("std", "stddev_pop")):
+            aggs.append(f"{fn}({S.double_sql(df, c)}) AS {name}{at[c]}")
     for c in times:
-        t = dates.to_datetime(df, c).cast("timestamp_ntz")
-        aggs += [F.min(t).alias(f"tmin{at[c]}"), F.max(t).alias(f"tmax{at[c]}")]
+        t = f"CAST({dates.datetime_sql(df, c)} AS TIMESTAMP_NTZ)"
+        aggs += [f"min({t}) AS tmin{at[c]}", f"max({t}) AS tmax{at[c]}"]
     for c in logical:
-        v = S.q(c).cast("int")
-        aggs += [F.count_if(v == 1).alias(f"yes{at[c]}"), F.count_if(v == 0).alias(f"no{at[c]}")]
-    if numeric:
-        medians, facts = quantiles(df, {c: S.as_double(df, c) for c in numeric}, [0.5], aggs)
-    else:
-        medians, facts = {}, df.agg(*aggs).first().asDict() if aggs else {}
+        v = f"CAST({S.sql_name(c)} AS INT)"
+        aggs += [f"count_if({v} = 1) AS yes{at[c]}", f"count_if({v} = 0) AS no{at[c]}"]
+    medians, facts = quantiles(df, {c: S.double_sql(df, c) for c in numeric}, [0.5], aggs)
     tops = frequency.mode_values(df, levels) if levels else {}
     rows = []
     for c in df.columns:
@@ -236,16 +223,14 @@ def dataset_meta(df: DataFrame, profile: list[ColumnProfile] | None = None) -> D
     profile = profile or profile_columns(df)
     # a 0/1 column has a logical type of its own, but a time column is one by type or by content
     times = [p.column for p in profile if S.is_datetime(S.dtype_of(df, p.column)) or p.date_share > DATETIME_SHARE]
-    stamps = [dates.to_datetime(df, c).cast("timestamp_ntz") for c in times]
-    none = F.lit(None).cast("timestamp_ntz")
-    low = [F.min(t) for t in stamps] + [none, none]
-    high = [F.max(t) for t in stamps] + [none, none]
-    return df.agg(
-        F.lit(sum(p.type == "numeric" for p in profile)).alias("n_numeric"),
-        F.lit(sum(p.type == "categorical" for p in profile)).alias("n_categorical"),
-        F.least(*low).alias("time_min"),
-        F.greatest(*high).alias("time_max"),
-        F.lit(domain_profile(df.columns)).alias("profile"),
+    stamps = [f"CAST({dates.datetime_sql(df, c)} AS TIMESTAMP_NTZ)" for c in times]
+    none = ["CAST(NULL AS TIMESTAMP_NTZ)"] * 2
+    return df.selectExpr(
+        f"{sum(p.type == 'numeric' for p in profile)} AS n_numeric",
+        f"{sum(p.type == 'categorical' for p in profile)} AS n_categorical",
+        f"least({', '.join([f'min({t})' for t in stamps] + none)}) AS time_min",
+        f"greatest({', '.join([f'max({t})' for t in stamps] + none)}) AS time_max",
+        f"max({S.sql_text(domain_profile(df.columns))}) AS profile",
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import dates, frequency, schema as S
 from ..functions.quantiles import quantiles
-from ..functions.stats import sample_skewness
+from ..functions.stats import skewness_sql
 from ..functions.wide import percent
 from .outliers import iqr_outlier_shares
 
@@ -53,11 +53,12 @@ def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column, count, mean, std, min, p25, p50, p75, max) with the sample deviation."""
     cols = list(cols or S.numeric_columns(df))
     S.require(df, cols)
-    x = {c: S.as_double(df, c) for c in cols}
-    aggs = []
-    for i, c in enumerate(cols):
-        for name, fn in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max)):
-            aggs.append(fn(x[c]).alias(f"{name}{i}"))
+    x = {c: S.double_sql(df, c) for c in cols}
+    aggs = [
+        f"{fn}({x[c]}) AS {name}{i}"
+        for i, c in enumerate(cols)
+        for name, fn in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"))
+    ]
     found, info = quantiles(df, x, [0.25, 0.5, 0.75], aggs)
     rows = [
         (c, info["n"][c], info[f"mean{i}"], info[f"std{i}"], info[f"min{i}"], *found[c], info[f"max{i}"])
@@ -72,7 +73,7 @@ def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def clip_tails(df: DataFrame, col: str, pct: float) -> DataFrame:
     """Winsorize ``pct`` percent on each side."""
     x = S.as_double(df, col)
-    lo, hi = quantiles(df, {col: x}, [pct / 100, 1 - pct / 100])[0][col]
+    lo, hi = quantiles(df, {col: S.double_sql(df, col)}, [pct / 100, 1 - pct / 100])[0][col]
     if lo is None:
         return df
     return df.withColumn(col, F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(hi)), F.lit(lo))))
@@ -114,19 +115,19 @@ def bin_count(rule: str, n: int, lo: float, hi: float, iqr: float, skew: float,
 
 def histogram(df: DataFrame, col: str, bins: str = "auto", log: bool = False) -> DataFrame:
     """(bin_no, bin, count): bin midpoint and rows in it; the last bin is closed on the right."""
-    x = S.as_double(df, col)
+    v = S.double_sql(df, col)
     if log:
-        x = F.when(x > 0, F.log10(x))
+        v = f"CASE WHEN {v} > 0 THEN log10({v}) END"
+    x = F.expr(v)
     aggs = [
-        F.min(x).alias("lo"), F.max(x).alias("hi"),
-        (F.when(F.var_pop(x) > 0, F.skewness(F.when(x.isNotNull(), x))).otherwise(0.0)).alias("skew"),
+        f"min({v}) AS lo", f"max({v}) AS hi", f"CASE WHEN var_pop({v}) > 0 THEN skewness({v}) ELSE 0D END AS skew"
     ]
     needs_iqr = bins in ("auto", "fd")
     if needs_iqr:
-        found, info = quantiles(df, {"x": x}, [0.25, 0.75], aggs)
+        found, info = quantiles(df, {"x": v}, [0.25, 0.75], aggs)
         n, iqr = info["n"]["x"], (found["x"][1] or 0.0) - (found["x"][0] or 0.0)
     else:
-        info = df.agg(F.count(x).alias("n"), *aggs).first().asDict()
+        info = df.selectExpr(f"count({v}) AS n", *aggs).first().asDict()
         n, iqr = info["n"], 0.0
     empty = df.sparkSession.createDataFrame([], "bin_no bigint, bin double, count bigint")
     if not n:
@@ -174,19 +175,17 @@ def insights(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     times = [c for c in cols if kinds[c] == "datetime"]
     levels = [c for c in cols if kinds[c] == "categorical"]
     at = {c: i for i, c in enumerate(cols)}
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for c in cols:
-        aggs.append(F.count(S.q(c)).alias(f"n{at[c]}"))
+    aggs = ["count(1) AS rows"] + [f"count({S.sql_name(c)}) AS n{at[c]}" for c in cols]
     for c in numeric:
-        x = S.as_double(df, c)
+        x, i = S.double_sql(df, c), at[c]
         aggs += [
-            sample_skewness(x).alias(f"skew{at[c]}"), F.avg(x).alias(f"mean{at[c]}"),
-            F.stddev_samp(x).alias(f"std{at[c]}"), F.count_if(x == 0).alias(f"zero{at[c]}"),
+            f"{skewness_sql(x)} AS skew{i}", f"avg({x}) AS mean{i}", f"stddev_samp({x}) AS std{i}",
+            f"count_if({x} = 0) AS zero{i}",
         ]
     for c in times:
-        t = S.q(c).cast("timestamp_ntz")
-        aggs.append(F.timestamp_diff("DAY", F.min(t), F.max(t)).alias(f"span{at[c]}"))
-    facts = df.agg(*aggs).first().asDict()
+        t = f"CAST({S.sql_name(c)} AS TIMESTAMP_NTZ)"
+        aggs.append(f"timestampdiff(DAY, min({t}), max({t})) AS span{at[c]}")
+    facts = df.selectExpr(*aggs).first().asDict()
     shares = iqr_outlier_shares(df, numeric)
     rows: list[tuple] = []
     for c in cols:
@@ -222,9 +221,8 @@ def _level_findings(df: DataFrame, cols: list[str], rows: int) -> list[tuple]:
             for c in cols
         ]
     )
-    order = F.struct((-F.col("n")).alias("k"), F.col("value").alias("v"))
     found = frequency.level_counts(text, cols, "string").groupBy("column_no").agg(
-        F.min(order).alias("best"), F.count(F.lit(1)).alias("levels")
+        F.expr("min(struct(-n AS k, value AS v)) AS best"), F.expr("count(1) AS levels")
     )
     out = []
     for r in found.orderBy("column_no").collect():

@@ -92,7 +92,8 @@ def _scale(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.least(x, F.lit(math.nextafter(_TOP, 0.0))), F.lit(_INF))
 
 
-def _bucket(df: DataFrame, name: str, borders: list[float], out: str) -> DataFrame:
+def bucket(df: DataFrame, name: str, borders: list[float], out: str) -> DataFrame:
+    """Number of the half-open range between borders that each value falls into."""
     inner = sorted({b for b in borders if -_INF < b < _INF})
     if not inner:
         return df.withColumn(out, F.lit(0))
@@ -147,7 +148,7 @@ def blocks(
     cuts = [sample[len(sample) * i // count][0] for i in range(1, count)]
     repeated = {a for a, b in zip(cuts, cuts[1:]) if a == b and a < _INF}
     borders = set(cuts) | {math.nextafter(v, _INF) for v in repeated} | {_TOP}
-    keyed = _bucket(keyed, "__k1", list(borders), "__range")
+    keyed = bucket(keyed, "__k1", list(borders), "__range")
     block = F.col("__range").cast("long") * _SUB
 
     # ranges of a single repeated key are cut again along the tie-break
@@ -160,7 +161,7 @@ def blocks(
         finest = max(parts.values())
         special = repeated | ({_INF} if tail > 1 else set())
         second = sorted(k2 for k1, k2 in sample if k1 in special)
-        keyed = _bucket(keyed, "__k2", [second[len(second) * i // finest] for i in range(1, finest)], "__part")
+        keyed = bucket(keyed, "__k2", [second[len(second) * i // finest] for i in range(1, finest)], "__part")
         step = [math.ceil(finest / parts[r]) if r in parts else _SUB for r in range(len(inner) + 1)]
         block = block + F.floor(F.col("__part") / F.get(F.lit(step), F.col("__range"))).cast("long")
         keyed = keyed.withColumn(BLOCK, block).drop("__part")
