@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import associations, distributions, profiles
+from . import associations, distributions, preparation, profiles
 
-FAMILIES = [profiles, distributions, associations]
+FAMILIES = [profiles, distributions, associations, preparation]
 
 
 def queries() -> dict:
