@@ -154,7 +154,7 @@ def line(s, d):
 
 def smoothed(s, d):
     got = D.rolling_mean_auto(orders(s, d), "o_orderdate", "o_totalprice", ["o_orderkey"], BLOCK)
-    return got.selectExpr("o_orderkey", "round(rolling_mean, 4) AS rolling_mean")
+    return got.selectExpr("o_orderkey", "round(rolling_mean, 6) AS rolling_mean")
 
 
 def parsed(s, d):
@@ -388,7 +388,6 @@ _CAL = (
 )
 _INTS = ["year", "quarter", "month", "week", "dayofweek", "day"]
 _TOP_USERS = "SELECT user_id FROM g GROUP BY user_id ORDER BY count(*) DESC, user_id NULLS LAST LIMIT 10"
-_EVENT_KIND = "WITH g AS (SELECT event_id, event_type, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS kind FROM events) "
 
 
 def _levels(cols: list[str]) -> str:
@@ -476,7 +475,7 @@ ORACLES = {
     "THEN 'D' END FROM orders",
     "d05_rolling_mean": _O.rstrip() + _POS
     + ", k AS (SELECT greatest(5, least(30, CAST(floor(count(*) * 0.05) AS BIGINT))) AS w FROM p) "
-    "SELECT a.o_orderkey, CASE WHEN count(b.o_totalprice) >= any_value(greatest(3, w // 3)) THEN round(avg(b.o_totalprice), 4) END "
+    "SELECT a.o_orderkey, CASE WHEN count(b.o_totalprice) >= any_value(greatest(3, w // 3)) THEN round(avg(b.o_totalprice), 6) END "
     "AS rolling_mean FROM p a, k JOIN p b ON b.i > a.i - w AND b.i <= a.i GROUP BY a.o_orderkey",
     "d06_trend_line": _O.rstrip() + _POS
     + "SELECT o_orderkey, round((SELECT regr_slope(o_totalprice, i) FROM p) * i + (SELECT regr_intercept(o_totalprice, i) FROM p), 3) "
@@ -508,6 +507,10 @@ ORACLES = {
     "e02_topk_levels": "WITH g AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END AS user_id FROM events), "
     f"t AS ({_TOP_USERS}) SELECT event_id, CASE WHEN t.user_id IS NULL AND g.user_id IS NOT NULL THEN '__other__' "
     "ELSE CAST(g.user_id AS VARCHAR) END AS user_id FROM g LEFT JOIN t ON t.user_id IS NOT DISTINCT FROM g.user_id",
+    # at sf0.01 the missing level, click and signup are on top; the missing level gets no column
+    "e03_one_hot": "WITH g AS (SELECT event_id, event_type, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS kind "
+    "FROM events) SELECT event_id, event_type, coalesce((kind = 'click')::INTEGER, 0) AS kind_click, "
+    "coalesce((kind = 'signup')::INTEGER, 0) AS kind_signup, coalesce((kind NOT IN ('click', 'signup'))::INTEGER, 0) AS kind___other__ FROM g",
     "e04_ordinal": _encoded_sql("{t}.r"),
     "e05_frequency": _encoded_sql("{t}.n"),
     "e06_target_mean": _encoded_sql("round(coalesce({t}.m, (SELECT avg(o_totalprice) FROM g)), 4)"),

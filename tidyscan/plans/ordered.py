@@ -199,15 +199,15 @@ def running_total(b: Blocks, value: Column, out: str, inclusive: bool = True) ->
     """Sum of ``value`` over all rows up to this one within the group."""
     w = b.window().rowsBetween(Window.unboundedPreceding, 0)
     zero = F.lit(0).cast("long")
-    tagged = b.df.withColumn("__v", value)
-    inside = F.sum("__v").over(w) - (F.lit(0) if inclusive else F.col("__v"))
-    rows = tagged.withColumn("__in", inside)
+    tagged = b.df.withColumn("__add", value)
+    inside = F.sum("__add").over(w) - (F.lit(0) if inclusive else F.col("__add"))
+    rows = tagged.withColumn("__within", inside)
     if not b.split:
-        return Blocks(rows.withColumn(out, F.col("__in")).drop("__v", "__in"), b.group, b.order, False)
-    totals = tagged.groupBy(*[S.q(k) for k in b.key_columns()]).agg(F.sum("__v").alias("__t"))
-    summary = totals.withColumn("__offset", F.coalesce(F.sum("__t").over(_before(b)), zero))
-    done = _attach(b, rows, summary, ["__offset"]).withColumn(out, F.col("__in") + F.col("__offset"))
-    return Blocks(done.drop("__v", "__in", "__offset"), b.group, b.order, True)
+        return Blocks(rows.withColumn(out, F.col("__within")).drop("__add", "__within"), b.group, b.order, False)
+    totals = tagged.groupBy(*[S.q(k) for k in b.key_columns()]).agg(F.sum("__add").alias("__sum"))
+    summary = totals.withColumn("__offset", F.coalesce(F.sum("__sum").over(_before(b)), zero))
+    done = _attach(b, rows, summary, ["__offset"]).withColumn(out, F.col("__within") + F.col("__offset"))
+    return Blocks(done.drop("__add", "__within", "__offset"), b.group, b.order, True)
 
 
 def position(b: Blocks, out: str) -> Blocks:
