@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import associations, distributions, preparation, profiles
+from . import associations, distributions, ingest, preparation, profiles
 
-FAMILIES = [profiles, distributions, associations, preparation]
+FAMILIES = [ingest, profiles, distributions, associations, preparation]
 
 
 def queries() -> dict:
