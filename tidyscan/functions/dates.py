@@ -55,9 +55,10 @@ def timestamp_sql(c: str, fmt: str | None = None, day_first: bool = False) -> st
     if fmt:
         return f'try_to_timestamp(trim({c}), "{spark_format(fmt)}")'
     formats = ISO_FORMATS + (DAY_FIRST_FORMATS if day_first else MONTH_FIRST_FORMATS)
-    # the pattern test keeps the parser away from cells that cannot fit
+    # every format starts with a digit, and the pattern test keeps the parser away from cells that cannot fit
+    words = f"WHEN ltrim({c}) < '0' OR ltrim({c}) >= ':' THEN NULL"
     cases = " ".join(f"""WHEN trim({c}) RLIKE r'{p}' THEN try_to_timestamp(trim({c}), "{f}")""" for p, f in formats)
-    return f"CASE {cases} END"
+    return f"CASE {words} {cases} END"
 
 
 def datetime_sql(

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 
 from .schema import sql_double
 
-SAMPLE_VALUES = 40_000  # values sampled per bracket and pass
+SAMPLE_VALUES = 200_000  # most values sampled per bracket and pass
+SAMPLE_SHARE = 50  # smaller brackets are sampled at one in so many, down to a twentieth of that
 INSIDE_LIMIT = 100_000  # values that may be read from one bracket
 
 
@@ -91,17 +92,22 @@ def quantiles(
     return result, info
 
 
-def _tagged(df: DataFrame, x: dict[str, str], groups: list[_Target], share: bool = False) -> dict[int, np.ndarray]:
-    """Values of each bracket, or a random share of them, read in one pass as (bracket, value) pairs."""
-    pairs = []
+def _sample_size(inside: int) -> float:
+    return min(SAMPLE_VALUES, max(SAMPLE_VALUES / 20, inside / SAMPLE_SHARE))
+
+
+def _read(df: DataFrame, x: dict[str, str], groups: list[_Target], sample: bool = False) -> list[np.ndarray]:
+    """Sorted values of each bracket, or a random part of them, read in one pass."""
+    cells = []
     for i, t in enumerate(groups):
         cond = t.within(x[t.name])
-        if share and t.inside > SAMPLE_VALUES:
-            cond += f" AND rand({17 + i}) < {sql_double(SAMPLE_VALUES / t.inside)}"
-        pairs.append(f"struct({i} AS i, CASE WHEN {cond} THEN {x[t.name]} END AS v)")
-    got = df.selectExpr(f"inline(array({', '.join(pairs)}))").filter("v IS NOT NULL").toArrow()
-    tag, val = got["i"].to_numpy(), got["v"].to_numpy()
-    return {i: np.sort(val[tag == i]) for i in range(len(groups))}
+        share = _sample_size(t.inside) / t.inside
+        if sample and share < 1:
+            cond += f" AND rand({17 + i}) < {sql_double(share)}"
+        cells.append(f"CASE WHEN {cond} THEN {x[t.name]} END AS v{i}")
+    found = " OR ".join(f"v{i} IS NOT NULL" for i in range(len(groups)))
+    got = df.selectExpr(*cells).filter(found).toArrow()
+    return [np.sort(got[f"v{i}"].drop_null().to_numpy()) for i in range(len(groups))]
 
 
 def _brackets(targets: list[_Target]) -> list[tuple[_Target, list[_Target]]]:
@@ -122,7 +128,7 @@ def _select(df: DataFrame, x: dict[str, str], targets: list[_Target]) -> None:
             _narrow(df, x, wide)
             continue
         shared = _brackets(pending)
-        values = _tagged(df, x, [head for head, _ in shared])
+        values = _read(df, x, [head for head, _ in shared])
         for i, (_, members) in enumerate(shared):
             for t in members:
                 for r in t.open_ranks:
@@ -131,7 +137,7 @@ def _select(df: DataFrame, x: dict[str, str], targets: list[_Target]) -> None:
 
 def _narrow(df: DataFrame, x: dict[str, str], wide: list[_Target]) -> None:
     shared = _brackets(wide)
-    samples = _tagged(df, x, [head for head, _ in shared], share=True)
+    samples = _read(df, x, [head for head, _ in shared], sample=True)
     proposals: list[tuple[_Target, float | None, float | None]] = []
     for i, (_, members) in enumerate(shared):
         s = samples[i]

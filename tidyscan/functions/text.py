@@ -19,11 +19,14 @@ NON_ASCII_PATTERN = r"[^\x00-\x7F]"
 PUNCTUATION_PATTERN = r"[^\p{L}\p{N}_\s\p{Z}']"
 DIGIT_PATTERN = r"\p{Nd}+"
 BLANK_PATTERN = r"[\s\p{Z}\x0B\x1C-\x1F\x85]+"
+# the same runs of blanks, except the single space that needs no replacing
+LONG_BLANK_PATTERN = r"[\s\p{Z}\x0B\x1C-\x1F\x85&&[^ ]][\s\p{Z}\x0B\x1C-\x1F\x85]*| [\s\p{Z}\x0B\x1C-\x1F\x85]+"
 
 
 def strip_html(c: Column) -> Column:
     """Script and style blocks, then tags, become a blank."""
-    return F.regexp_replace(F.regexp_replace(c, BLOCK_PATTERN, " "), TAG_PATTERN, " ")
+    cleaned = F.regexp_replace(F.regexp_replace(c, BLOCK_PATTERN, " "), TAG_PATTERN, " ")
+    return F.when(F.contains(c, F.lit("<")), cleaned).otherwise(c)
 
 
 def remove_non_ascii(c: Column) -> Column:
@@ -40,11 +43,11 @@ def remove_numbers(c: Column) -> Column:
 
 
 def normalize_ws(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, BLANK_PATTERN, " "))
+    return F.trim(F.regexp_replace(c, LONG_BLANK_PATTERN, " "))
 
 
 def tokenize(c: Column) -> Column:
-    return F.filter(F.split(normalize_ws(c), " "), lambda t: t != "")
+    return F.filter(F.split(c, BLANK_PATTERN), lambda t: t != "")
 
 
 def remove_stopwords(tokens: Column, extra: Iterable[str] = ()) -> Column:

@@ -15,6 +15,7 @@ from ..functions.quantiles import quantiles
 from ..functions.stats import both, pearson_expr
 from ..functions.wide import to_rows
 from ..plans import ordered
+from ..plans.settle import settle
 from .profile import sample_rows
 
 # Fixed values of the measures.
@@ -86,10 +87,10 @@ def average_ranks(counts: DataFrame, value: str, weight: str, group: list[str] |
 
 def spearman(df: DataFrame, x: str, y: str, rows_per_block: int | None = None) -> DataFrame:
     """Pearson r of average ranks, computed on distinct pairs with their counts."""
-    pairs = _pairs(df, x, y)
+    pairs = settle(_pairs(df, x, y))
     ranked = pairs
     for side, name in (("x", "rx"), ("y", "ry")):
-        counts = pairs.groupBy(side).agg(F.sum("w").alias("t"))
+        counts = settle(pairs.groupBy(side).agg(F.sum("w").alias("t")))
         ranks = average_ranks(counts, side, "t", rows_per_block=rows_per_block)
         ranked = ranked.join(ranks.select(F.col(side).alias("__k"), F.col("rank").alias(name)), F.col(side) == F.col("__k")).drop("__k")
     n = F.sum("w")
@@ -221,30 +222,36 @@ def crosstab_wide(df: DataFrame, a: str, b: str) -> DataFrame:
 # ---- mutual information ------------------------------------------------------------------
 
 
-def quantile_bin(df: DataFrame, name: str, bins: int = MI_BINS) -> Column:
-    """Number of the quantile bin, right-closed with the lowest value included; equal edges merge."""
-    x = S.as_double(df, name)
-    rough = df.agg(F.approx_count_distinct(x)).first()[0]
+def quantile_bins(df: DataFrame, cols: list[str], bins: int = MI_BINS) -> dict[str, Column]:
+    """Number of each value's quantile bin, right-closed with the lowest value included; equal edges merge."""
+    x = {c: S.double_sql(df, c) for c in cols}
+    rough = df.selectExpr(*[f"approx_count_distinct({x[c]}) AS u{i}" for i, c in enumerate(cols)]).first()
+    levels = {c: rough[f"u{i}"] for i, c in enumerate(cols)}
     # the sketch only tells few values from many; few are counted exactly
-    levels = rough if rough > 20 * bins else df.agg(F.count_distinct(x)).first()[0]
-    parts = min(bins, levels)
-    if parts < 2:
-        return F.when(x.isNotNull(), F.lit(0))
-    edges = quantiles(df, {"x": S.double_sql(df, name)}, [i / parts for i in range(parts + 1)])[0]["x"]
-    inner = sorted(set(edges))[1:-1]
-    above = sum((F.when(x > F.lit(e), 1).otherwise(0) for e in inner), F.lit(0))
-    return F.when(x.isNotNull(), above)
+    few = [c for c in cols if levels[c] <= 20 * bins]
+    if few:
+        row = df.selectExpr(*[f"count(DISTINCT {x[c]}) AS u{i}" for i, c in enumerate(few)]).first()
+        levels.update({c: row[f"u{i}"] for i, c in enumerate(few)})
+    parts = {c: min(bins, levels[c]) for c in cols}
+    cut = [c for c in cols if parts[c] >= 2]
+    probs = {c: [i / parts[c] for i in range(parts[c] + 1)] for c in cut}
+    edges = quantiles(df, {c: x[c] for c in cut}, probs)[0] if cut else {}
+    out = {}
+    for c in cols:
+        above = " + ".join(f"int({x[c]} > {S.sql_double(e)})" for e in sorted(set(edges.get(c, [])))[1:-1]) or "0"
+        out[c] = F.expr(f"CASE WHEN {x[c]} IS NOT NULL THEN {above} END")
+    return out
 
 
-def _binned(df: DataFrame, name: str) -> Column:
-    if S.is_numeric(S.dtype_of(df, name)):
-        return quantile_bin(df, name).cast("string")
-    return _level(df, name)
+def _binned(df: DataFrame, cols: list[str]) -> list[Column]:
+    numbers = [c for c in dict.fromkeys(cols) if S.is_numeric(S.dtype_of(df, c))]
+    made = quantile_bins(df, numbers) if numbers else {}
+    return [made[c].cast("string") if c in made else _level(df, c) for c in cols]
 
 
 def normalized_mi(df: DataFrame, x: str, y: str) -> DataFrame:
     """Mutual information over the larger entropy, numeric columns cut at quantiles."""
-    cells = _contingency(df, [_binned(df, x), _binned(df, y)], [(0, 1)])
+    cells = settle(_contingency(df, _binned(df, [x, y]), [(0, 1)]))
     n = cells.agg(F.sum("o")).first()[0]
     if not n:
         return _one(df, None)
@@ -334,8 +341,8 @@ def _rank_columns(df: DataFrame, cols: list[str], rows_per_block: int | None) ->
     plain = df.selectExpr(*[f"{S.double_sql(df, c)} AS x{i}" for i, c in enumerate(cols)])
     values = ", ".join(f"struct({i} AS no, x{i} AS v)" for i in range(len(cols)))
     long = plain.selectExpr(f"inline(array({values}))").filter("v IS NOT NULL")
-    counts = long.groupBy("no", "v").agg(F.expr("count(1) AS t"))
-    ranks = average_ranks(counts, "v", "t", ["no"], rows_per_block)
+    counts = settle(long.groupBy("no", "v").agg(F.expr("count(1) AS t")))
+    ranks = settle(average_ranks(counts, "v", "t", ["no"], rows_per_block))
     out = plain
     for i in range(len(cols)):
         side = ranks.filter(F.col("no") == i).select(F.col("v").alias("__k"), F.col("rank").alias(f"r{i}"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import dates, frequency, schema as S
 from ..plans import ordered
+from ..plans.settle import settle
 
 # Limits of the encoders.
 TOP_LEVELS = 10
@@ -120,7 +121,7 @@ def level_ranks(df: DataFrame, cols: list[str], rows_per_block: int | None = Non
     """(value, n, rank) of each column, rank 1 for the most frequent level."""
     out = {}
     for family, members in frequency.families(df, cols).items():
-        counts = frequency.level_counts(df, members, family).withColumn("neg", -F.col("n"))
+        counts = settle(frequency.level_counts(df, members, family).withColumn("neg", -F.col("n")))
         b = ordered.blocks(counts, ["neg", "value"], ["column_no"], rows_per_block)
         ranked = ordered.finish(ordered.position(b, "rank"))
         for i, c in enumerate(members):

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans import ordered
+from ..plans.settle import settle
 from .association import _pairs
 
 ROWS_PER_BLOCK = 200_000
@@ -63,7 +64,7 @@ def _blocked(pairs: DataFrame, side: str, count: int, share: float) -> tuple[Dat
 
 
 def kendall(df: DataFrame, x: str, y: str, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    pairs = _pairs(df, x, y)
+    pairs = settle(_pairs(df, x, y))
     ties = lambda c: F.sum(c.cast("double") * (c - 1)) / 2
     head = pairs.agg(F.count(F.lit(1)).alias("rows"), F.sum("w").alias("n"), ties(F.col("w")).alias("t")).first()
     spark = df.sparkSession

@@ -126,7 +126,7 @@ def fill_missing(
     for no, ((within, time), members) in enumerate(buckets.items()):
         if not order_by:
             raise ValueError("ffill, bfill and interpolate need order_by: a key and a unique tie-break column")
-        out = _ordered_fill(out, steps, members, within, time, order_by, rows_per_block, no)
+        out = _ordered_fill(out, steps, members, within, time, order_by, rows_per_block, no, facts["rows"])
         filled.update({c: F.col(f"__o{no}_{i}") for i, c in enumerate(members)})
     if dropped:
         present = F.lit(True)
@@ -138,7 +138,7 @@ def fill_missing(
 
 def _ordered_fill(
     df: DataFrame, steps: dict, members: list[str], within: str | None, time: str | None,
-    order_by: list[str], rows_per_block: int | None, no: int,
+    order_by: list[str], rows_per_block: int | None, no: int, rows: int,
 ) -> DataFrame:
     group: list[str] = []
     if within:
@@ -146,7 +146,7 @@ def _ordered_fill(
             raise ValueError(f"within is one of {FILL_BUCKETS}")
         df = df.withColumn("__bucket", F.date_trunc(within, S.q(time).cast("timestamp_ntz")))
         group = ["__bucket"]
-    b = ordered.blocks(df, order_by, group, rows_per_block)
+    b = ordered.blocks(df, order_by, group, rows_per_block, rows)
     lines = {c: i for i, c in enumerate(members) if steps[c]["method"] == "interpolate"}
     if lines:
         b = ordered.position(b, "__pos")

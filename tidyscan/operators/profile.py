@@ -114,8 +114,12 @@ def _example_sql(df: DataFrame, name: str) -> str:
     return f"CAST(min({c}) AS STRING)"
 
 
-def profile_columns(df: DataFrame, approx: bool = False) -> list[ColumnProfile]:
-    """The profile every report of this module starts from; its jobs do not grow with the columns."""
+def profile_columns(df: DataFrame, approx: bool = False, count_numbers: bool = True) -> list[ColumnProfile]:
+    """The profile every report of this module starts from; its jobs do not grow with the columns.
+
+    Without ``count_numbers`` the distinct values of numeric and time columns, which no
+    statistic but the count itself needs, stay uncounted (-1).
+    """
     df = S.nan_to_null(df)
     text = [f.name for f in df.schema if S.is_string(f.dataType)]
     whole = [f.name for f in df.schema if S.is_integer(f.dataType)]
@@ -131,10 +135,12 @@ def profile_columns(df: DataFrame, approx: bool = False) -> list[ColumnProfile]:
     # a column of short strings is no text whatever its median
     long = [f.name for i, f in enumerate(df.schema) if (facts.get(f"l{i}") or 0) > TEXT_LENGTH]
     medians = quantiles(df, {c: f"length({S.sql_name(c)})" for c in long}, [0.5])[0] if long else {}
-    found = {r["column"]: r for r in frequency.distinct_counts(df, approx=approx).collect()}
+    counted = [f.name for f in df.schema if count_numbers or not (S.is_numeric(f.dataType) or S.is_datetime(f.dataType))]
+    found = {r["column"]: r for r in frequency.distinct_counts(df, counted, approx).collect()} if counted else {}
     out = []
     for i, f in enumerate(df.schema):
-        n, unique = facts[f"n{i}"], found[f.name]["unique"]
+        n = facts[f"n{i}"]
+        unique = found[f.name]["unique"] if f.name in found else -1
         date_share = facts[f"d{i}"] / n if f.name in text and n else 0.0
         if isinstance(f.dataType, T.BooleanType) or facts.get(f"b{i}"):
             kind = "boolean"
@@ -150,7 +156,7 @@ def profile_columns(df: DataFrame, approx: bool = False) -> list[ColumnProfile]:
             kind = "categorical"
         out.append(
             ColumnProfile(
-                f.name, kind, facts["rows"], n, unique, found[f.name]["has_null"], date_share, facts[f"e{i}"]
+                f.name, kind, facts["rows"], n, unique, n < facts["rows"], date_share, facts[f"e{i}"]
             )
         )
     return out
@@ -175,7 +181,7 @@ QUICK_STATS = (
 
 def column_quick_stats(df: DataFrame, profile: list[ColumnProfile] | None = None) -> DataFrame:
     """Statistics by logical type; columns that do not apply to a type stay null."""
-    profile = profile or profile_columns(df)
+    profile = profile or profile_columns(df, count_numbers=False)
     kinds = {p.column: p for p in profile}
     numeric = [p.column for p in profile if p.type == "numeric"]
     times = [p.column for p in profile if p.type == "datetime"]

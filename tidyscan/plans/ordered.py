@@ -119,9 +119,13 @@ def group_key(cols: list[str]) -> Column:
 
 
 def blocks(
-    df: DataFrame, order_by: list[str], group_by: list[str] | None = None, rows_per_block: int | None = None
+    df: DataFrame,
+    order_by: list[str],
+    group_by: list[str] | None = None,
+    rows_per_block: int | None = None,
+    rows: int | None = None,
 ) -> Blocks:
-    """Tag every row with its block."""
+    """Tag every row with its block; ``rows`` is the number of rows if the caller knows it."""
     limit = rows_per_block or ROWS_PER_BLOCK
     group, order = tuple(group_by or ()), tuple(order_by)
     if not order:
@@ -129,7 +133,7 @@ def blocks(
     S.require(df, [*group, *order])
     whole = Blocks(df.withColumn(BLOCK, F.lit(0).cast("long")), group, order, False)
 
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     if rows <= limit:
         return whole
     count = min(math.ceil(rows / limit), _max_blocks(df))

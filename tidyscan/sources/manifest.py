@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import schema as S
 from ..plans import ordered
+from ..plans.settle import settle
 
 
 def ingest_manifest(spark: SparkSession, path: str, seen: DataFrame | None = None) -> DataFrame:
@@ -23,7 +24,7 @@ def unique_names(
 ) -> DataFrame:
     """Adds base, base_2, base_3, … in order; numbers that would spell another base are left out."""
     b = ordered.position(ordered.blocks(df, order_by, [name_col], rows_per_block), "__no")
-    numbered = ordered.finish(b)
+    numbered = settle(ordered.finish(b))
     # the j-th taken number t shifts all later free numbers by one: those from t - j on
     bases = df.select(S.q(name_col).alias("base")).distinct()
     parsed = bases.select(
