@@ -9,9 +9,12 @@ number of jobs does not grow with the number of columns, and no task ever holds
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from dataclasses import dataclass, field
+from itertools import count
 
 import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 
 from .schema import sql_double
@@ -62,7 +65,8 @@ def quantiles(
     """
     names = list(exprs)
     per_name = probs if isinstance(probs, dict) else {k: list(probs) for k in names}
-    base = df.selectExpr("*", *[f"CAST({exprs[k]} AS DOUBLE) AS __q{i}" for i, k in enumerate(names)])
+    # adding zero makes -0.0 equal to 0.0 for the range search, too
+    base = df.selectExpr("*", *[f"CAST({exprs[k]} AS DOUBLE) + 0D AS __q{i}" for i, k in enumerate(names)])
     x = {k: f"__q{i}" for i, k in enumerate(names)}
     counts = [f"count({x[k]}) AS __n{i}" for i, k in enumerate(names)]
     head = base.selectExpr("count(1) AS __rows", *counts, *(extra or [])).first().asDict()
@@ -96,14 +100,14 @@ def _sample_size(inside: int) -> float:
     return min(SAMPLE_VALUES, max(SAMPLE_VALUES / 20, inside / SAMPLE_SHARE))
 
 
-def _read(df: DataFrame, x: dict[str, str], groups: list[_Target], sample: bool = False) -> list[np.ndarray]:
-    """Sorted values of each bracket, or a random part of them, read in one pass."""
+def _read(df: DataFrame, x: dict[str, str], groups: list[_Target], seed: int | None = None) -> list[np.ndarray]:
+    """Sorted values of each bracket, or with a seed a random part of them, read in one pass."""
     cells = []
     for i, t in enumerate(groups):
         cond = t.within(x[t.name])
         share = _sample_size(t.inside) / t.inside
-        if sample and share < 1:
-            cond += f" AND rand({17 + i}) < {sql_double(share)}"
+        if seed is not None and share < 1:
+            cond += f" AND rand({seed + i}) < {sql_double(share)}"
         cells.append(f"CASE WHEN {cond} THEN {x[t.name]} END AS v{i}")
     found = " OR ".join(f"v{i} IS NOT NULL" for i in range(len(groups)))
     got = df.selectExpr(*cells).filter(found).toArrow()
@@ -119,13 +123,13 @@ def _brackets(targets: list[_Target]) -> list[tuple[_Target, list[_Target]]]:
 
 
 def _select(df: DataFrame, x: dict[str, str], targets: list[_Target]) -> None:
-    while True:
+    for turn in count():  # an unlucky sample only costs another turn with other draws
         pending = [t for t in targets if t.open_ranks]
         if not pending:
             return
         wide = [t for t in pending if t.inside > INSIDE_LIMIT]
         if wide:
-            _narrow(df, x, wide)
+            _narrow(df, x, wide, 1000 * turn)
             continue
         shared = _brackets(pending)
         values = _read(df, x, [head for head, _ in shared])
@@ -135,9 +139,33 @@ def _select(df: DataFrame, x: dict[str, str], targets: list[_Target]) -> None:
                     t.found[r] = float(values[i][r - t.below])
 
 
-def _narrow(df: DataFrame, x: dict[str, str], wide: list[_Target]) -> None:
+def _counts_below(df: DataFrame, x: dict[str, str], bounds: dict[str, set[float]]) -> dict[tuple, tuple[int, int]]:
+    """Exact number of values below, and at or below, each bound: one pass sorts all columns into ranges."""
+    names = [n for n in bounds if bounds[n]]
+    if not names:
+        return {}
+    # each bound opens a range that holds only itself
+    edges = {n: sorted({e for b in bounds[n] for e in (b, math.nextafter(b, math.inf))}) for n in names}
+    cut = Bucketizer(
+        splitsArray=[[-math.inf, *edges[n], math.inf] for n in names],
+        inputCols=[x[n] for n in names], outputCols=[f"__r{i}" for i in range(len(names))], handleInvalid="keep",
+    )
+    ranges = ", ".join(f"struct({i} AS i, CAST(__r{i} AS INT) AS r)" for i in range(len(names)))
+    found = cut.transform(df).selectExpr(f"inline(array({ranges}))").filter("r IS NOT NULL").groupBy("i", "r").count()
+    per_range: dict[str, list[int]] = {n: [0] * (len(edges[n]) + 2) for n in names}
+    for row in found.collect():
+        per_range[names[row["i"]]][row["r"]] += row["count"]
+    out = {}
+    for n in names:
+        total = np.cumsum(per_range[n])
+        for b in bounds[n]:
+            out[(n, b)] = tuple(int(total[bisect_left(edges[n], e)]) for e in (b, math.nextafter(b, math.inf)))
+    return out
+
+
+def _narrow(df: DataFrame, x: dict[str, str], wide: list[_Target], seed: int) -> None:
     shared = _brackets(wide)
-    samples = _read(df, x, [head for head, _ in shared], sample=True)
+    samples = _read(df, x, [head for head, _ in shared], seed)
     proposals: list[tuple[_Target, float | None, float | None]] = []
     for i, (_, members) in enumerate(shared):
         s = samples[i]
@@ -154,18 +182,13 @@ def _narrow(df: DataFrame, x: dict[str, str], wide: list[_Target]) -> None:
             proposals.append((t, lo, hi))
     if not proposals:
         return
-    aggs = []
-    for i, (t, lo, hi) in enumerate(proposals):
-        v = x[t.name]
-        aggs += [
-            f"count_if({v} < {sql_double(lo)}) AS a{i}" if lo is not None else f"0 AS a{i}",
-            f"count_if({v} <= {sql_double(lo)}) AS b{i}" if lo is not None else f"0 AS b{i}",
-            f"count_if({v} < {sql_double(hi)}) AS c{i}" if hi is not None else f"count({v}) AS c{i}",
-            f"count_if({v} <= {sql_double(hi)}) AS d{i}" if hi is not None else f"count({v}) AS d{i}",
-        ]
-    row = df.selectExpr(*aggs).first()
-    for i, (t, lo, hi) in enumerate(proposals):
-        lt_lo, le_lo, lt_hi, le_hi = row[f"a{i}"], row[f"b{i}"], row[f"c{i}"], row[f"d{i}"]
+    bounds: dict[str, set[float]] = {}
+    for t, lo, hi in proposals:
+        bounds.setdefault(t.name, set()).update(b for b in (lo, hi) if b is not None)
+    below = _counts_below(df, x, bounds)
+    for t, lo, hi in proposals:
+        lt_lo, le_lo = below[(t.name, lo)] if lo is not None else (0, 0)
+        lt_hi, le_hi = below[(t.name, hi)] if hi is not None else (t.below + t.inside, 0)
         for r in t.open_ranks:
             if lo is not None and lt_lo <= r < le_lo:
                 t.found[r] = lo

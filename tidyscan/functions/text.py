@@ -19,8 +19,6 @@ NON_ASCII_PATTERN = r"[^\x00-\x7F]"
 PUNCTUATION_PATTERN = r"[^\p{L}\p{N}_\s\p{Z}']"
 DIGIT_PATTERN = r"\p{Nd}+"
 BLANK_PATTERN = r"[\s\p{Z}\x0B\x1C-\x1F\x85]+"
-# the same runs of blanks, except the single space that needs no replacing
-LONG_BLANK_PATTERN = r"[\s\p{Z}\x0B\x1C-\x1F\x85&&[^ ]][\s\p{Z}\x0B\x1C-\x1F\x85]*| [\s\p{Z}\x0B\x1C-\x1F\x85]+"
 
 
 def strip_html(c: Column) -> Column:
@@ -43,7 +41,18 @@ def remove_numbers(c: Column) -> Column:
 
 
 def normalize_ws(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, LONG_BLANK_PATTERN, " "))
+    return F.trim(F.regexp_replace(c, BLANK_PATTERN, " "))
+
+
+def simplify(c: Column, punct: bool, numbers: bool) -> Column:
+    """Punctuation and numbers, if asked for, and blanks in one pass: whole runs become one blank."""
+    if punct:
+        runs = r"(?:[^\p{L}\p{N}_']|\p{Nd})+" if numbers else r"[^\p{L}\p{N}_']+"
+    elif numbers:
+        runs = BLANK_PATTERN.replace(r"\s\p{Z}", r"\s\p{Z}\p{Nd}")
+    else:
+        runs = BLANK_PATTERN
+    return F.trim(F.regexp_replace(c, runs, " "))
 
 
 def tokenize(c: Column) -> Column:

@@ -38,11 +38,7 @@ def clean_text(
         c = X.remove_non_ascii(c)
     if lowercase:
         c = F.lower(c)
-    if punct:
-        c = X.remove_punct(c)
-    if numbers:
-        c = X.remove_numbers(c)
-    c = X.normalize_ws(c)
+    c = X.simplify(c, punct, numbers)
     if stopwords:
         c = F.array_join(X.remove_stopwords(F.split(c, " "), extra_stopwords), " ")
     if stemmer is not None:

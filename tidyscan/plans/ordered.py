@@ -89,7 +89,8 @@ def _scale(df: DataFrame, name: str) -> Column:
         x = c.cast("int").cast("double")
     else:
         x = F.nanvl(c.cast("double"), F.lit(None).cast("double"))
-    return F.coalesce(F.least(x, F.lit(math.nextafter(_TOP, 0.0))), F.lit(_INF))
+    # adding zero makes -0.0 equal to 0.0 for the range search, too
+    return F.coalesce(F.least(x + 0.0, F.lit(math.nextafter(_TOP, 0.0))), F.lit(_INF))
 
 
 def bucket(df: DataFrame, name: str, borders: list[float], out: str) -> DataFrame:
