@@ -59,8 +59,8 @@ QUERIES = {
     "u01_value_counts": lambda s, d: U.value_counts(events(s, d), "event_type"),
     "u01_value_counts_top": lambda s, d: U.value_counts(load(s, d, "lineitem"), "l_partkey", 100),
     "u01_top_values": lambda s, d: U.top_values(load(s, d, "orders"), "o_custkey"),
-    "u02_describe": lambda s, d: rounded(U.describe(load(s, d, "lineitem"), NUMBERS), 9, "mean", "std", "p25", "p50", "p75"),
-    "u02_describe_nulls": lambda s, d: rounded(U.describe(events(s, d), ["value"]), 9, "mean", "std", "p25", "p50", "p75"),
+    "u02_describe": lambda s, d: rounded(U.describe(load(s, d, "lineitem"), NUMBERS), 7, "mean", "std", "p25", "p50", "p75"),
+    "u02_describe_nulls": lambda s, d: rounded(U.describe(events(s, d), ["value"]), 7, "mean", "std", "p25", "p50", "p75"),
     "u03_clip_tails": lambda s, d: rounded(
         U.clip_tails(events(s, d).select("event_id", "value"), "value", 1.0), 6, "value"
     ),
@@ -144,9 +144,9 @@ _ONE = "WITH g AS (SELECT * FROM {t}) "
 def _describe_sql(cols) -> str:
     return union(
         [
-            f"SELECT '{c}' AS \"column\", count({c}) AS \"count\", round(avg({c}), 9) AS mean, round(stddev_samp({c}), 9) AS std, "
-            f"CAST(min({c}) AS DOUBLE) AS \"min\", round(quantile_cont({c}, 0.25), 9) AS p25, round(quantile_cont({c}, 0.5), 9) AS p50, "
-            f"round(quantile_cont({c}, 0.75), 9) AS p75, CAST(max({c}) AS DOUBLE) AS \"max\" FROM g"
+            f"SELECT '{c}' AS \"column\", count({c}) AS \"count\", round(avg({c}), 7) AS mean, round(stddev_samp({c}), 7) AS std, "
+            f"CAST(min({c}) AS DOUBLE) AS \"min\", round(quantile_cont({c}, 0.25), 7) AS p25, round(quantile_cont({c}, 0.5), 7) AS p50, "
+            f"round(quantile_cont({c}, 0.75), 7) AS p75, CAST(max({c}) AS DOUBLE) AS \"max\" FROM g"
             for c in cols
         ]
     )

@@ -60,7 +60,7 @@ def overview_sql(cols: list[str]) -> str:
 
 def quick_numeric(s, d):
     got = P.column_quick_stats(load(s, d, "lineitem"))
-    return rounded(got.filter("type = 'numeric'").select("column", "min", "p50", "max", "mean", "std"), 9, "mean", "std")
+    return rounded(got.filter("type = 'numeric'").select("column", "min", "p50", "max", "mean", "std"), 7, "mean", "std")
 
 
 def quick_levels(s, d):
@@ -244,7 +244,7 @@ ORACLES = {
     "s06_quick_stats_numeric": union(
         [
             f"SELECT '{c}' AS \"column\", CAST(min({c}) AS DOUBLE) AS \"min\", CAST(median({c}) AS DOUBLE) AS p50, "
-            f"CAST(max({c}) AS DOUBLE) AS \"max\", round(avg({c}), 9) AS mean, round(stddev_pop({c}), 9) AS std FROM lineitem"
+            f"CAST(max({c}) AS DOUBLE) AS \"max\", round(avg({c}), 7) AS mean, round(stddev_pop({c}), 7) AS std FROM lineitem"
             for c in _NUM
         ]
     ),
