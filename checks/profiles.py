@@ -34,8 +34,9 @@ def entry_table(s, d):
     """Table overview next to the quick statistics of every column of lineitem."""
     df = load(s, d, "lineitem")
     stats = P.column_quick_stats(df).drop("time_min", "time_max")
-    over = P.overview_stats(df).select("rows", "n_duplicates")
-    return rounded(stats.crossJoin(F.broadcast(over)), 6, "mean", "std")
+    over = P.overview_stats(df).first()
+    facts = {c: F.lit(over[c]).cast("bigint") for c in ("rows", "n_duplicates")}
+    return rounded(stats.withColumns(facts), 6, "mean", "std")
 
 
 def missing_sql(cols: list[str]) -> str:

@@ -21,7 +21,7 @@ from .schema import sql_double
 
 SAMPLE_VALUES = 200_000  # most values sampled per bracket and pass
 SAMPLE_SHARE = 50  # smaller brackets are sampled at one in so many, down to a twentieth of that
-INSIDE_LIMIT = 100_000  # values that may be read from one bracket
+INSIDE_LIMIT = 100_000  # values that may be read from one bracket; above it a sample always narrows
 
 
 @dataclass
