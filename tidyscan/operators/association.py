@@ -225,20 +225,21 @@ def crosstab_wide(df: DataFrame, a: str, b: str) -> DataFrame:
 def quantile_bins(df: DataFrame, cols: list[str], bins: int = MI_BINS) -> dict[str, Column]:
     """Number of each value's quantile bin, right-closed with the lowest value included; equal edges merge."""
     x = {c: S.double_sql(df, c) for c in cols}
-    rough = df.selectExpr(*[f"approx_count_distinct({x[c]}) AS u{i}" for i, c in enumerate(cols)]).first()
-    levels = {c: rough[f"u{i}"] for i, c in enumerate(cols)}
-    # the sketch only tells few values from many; few are counted exactly
-    few = [c for c in cols if levels[c] <= 20 * bins]
+    grid = lambda parts: [i / parts for i in range(parts + 1)]
+    sketches = [f"approx_count_distinct({x[c]}) AS u{i}" for i, c in enumerate(cols)]
+    edges, info = quantiles(df, x, grid(bins), sketches)
+    # the sketch only tells few values from many; few are counted exactly and get fewer bins
+    few = [c for i, c in enumerate(cols) if info[f"u{i}"] <= 20 * bins]
     if few:
         row = df.selectExpr(*[f"count(DISTINCT {x[c]}) AS u{i}" for i, c in enumerate(few)]).first()
-        levels.update({c: row[f"u{i}"] for i, c in enumerate(few)})
-    parts = {c: min(bins, levels[c]) for c in cols}
-    cut = [c for c in cols if parts[c] >= 2]
-    probs = {c: [i / parts[c] for i in range(parts[c] + 1)] for c in cut}
-    edges = quantiles(df, {c: x[c] for c in cut}, probs)[0] if cut else {}
+        levels = {c: row[f"u{i}"] for i, c in enumerate(few) if row[f"u{i}"] < bins}
+        redo = {c: grid(n) for c, n in levels.items() if n >= 2}
+        edges.update({c: [] for c in levels})
+        if redo:
+            edges.update(quantiles(df, {c: x[c] for c in redo}, redo)[0])
     out = {}
     for c in cols:
-        above = " + ".join(f"int({x[c]} > {S.sql_double(e)})" for e in sorted(set(edges.get(c, [])))[1:-1]) or "0"
+        above = " + ".join(f"int({x[c]} > {S.sql_double(e)})" for e in sorted(set(edges[c]) - {None})[1:-1]) or "0"
         out[c] = F.expr(f"CASE WHEN {x[c]} IS NOT NULL THEN {above} END")
     return out
 

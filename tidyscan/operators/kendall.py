@@ -70,9 +70,11 @@ def kendall(df: DataFrame, x: str, y: str, rows_per_block: int = ROWS_PER_BLOCK)
     spark = df.sparkSession
     if not head["rows"] or head["n"] < 2:
         return spark.createDataFrame([(None,)], "value double")
-    tie_x, tie_y = (
-        pairs.groupBy(s).agg(F.sum("w").alias("t")).agg(ties(F.col("t"))).first()[0] for s in ("x", "y")
-    )
+    tied = [
+        pairs.groupBy(s).agg(F.sum("w").alias("t")).agg(F.lit(s).alias("side"), ties(F.col("t")).alias("t"))
+        for s in ("x", "y")
+    ]
+    tie = {r["side"]: r["t"] for r in tied[0].unionAll(tied[1]).collect()}
     count = min(math.ceil(head["rows"] / rows_per_block), MAX_BLOCKS)
     share = min(1.0, 1.2 * SAMPLE_PER_BLOCK * count / head["rows"])
     cells, wide = _blocked(pairs, "x", count, share)
@@ -92,8 +94,8 @@ def kendall(df: DataFrame, x: str, y: str, rows_per_block: int = ROWS_PER_BLOCK)
         rising = rising.unionAll(_grid_pairs(cells, wide, high))
     concordant = rising.agg(F.sum("c")).first()[0] or 0.0
     every = head["n"] * (head["n"] - 1) / 2
-    untied = every - tie_x - tie_y + head["t"]
-    scale = math.sqrt(every - tie_x) * math.sqrt(every - tie_y)
+    untied = every - tie["x"] - tie["y"] + head["t"]
+    scale = math.sqrt(every - tie["x"]) * math.sqrt(every - tie["y"])
     value = (2 * concordant - untied) / scale if scale else None
     return spark.createDataFrame([(value,)], "value double")
 
