@@ -8,7 +8,7 @@ rows into one task.  Here such groups are cut into blocks by ranges of the order
 * windows run inside (group, block);
 * a summary of one row per (group, block) carries totals or last values across the borders.
 
-Groups below the block size stay whole and need no summary.  The order must be total: give a
+Groups below the block size stay whole and take no part in the summary.  The order must be total: give a
 key plus a unique tie-break column.  Missing keys sort last.
 """
 
@@ -30,6 +30,7 @@ BLOCK = "__block"
 _INF = float("inf")
 _TOP = sys.float_info.max  # separates missing keys, which are infinite, from all others
 _SUB = 1 << 20  # block number = range number * _SUB + part of a hot range
+_WHOLE = -1  # block of the groups that are not cut
 
 
 @dataclass(frozen=True)
@@ -52,6 +53,10 @@ class Blocks:
     def key_columns(self) -> list[str]:
         return [*self.group, BLOCK]
 
+    def per_block(self, df: DataFrame):
+        """Rows of the groups that are cut, by group and block; whole groups need no summary."""
+        return df.filter(F.col(BLOCK) > _WHOLE).groupBy(*[S.q(k) for k in self.key_columns()])
+
 
 def _ascending(name: str) -> Column:
     return S.q(name).asc_nulls_last()
@@ -175,7 +180,7 @@ def blocks(
     tagged = keyed.drop("__k1", "__k2", "__range")
     if hot is not None:
         marks = F.broadcast(hot.select(group_key(list(group)).alias("__hot")))
-        block = F.when(F.col("__hot").isNotNull(), F.col(BLOCK)).otherwise(F.lit(0).cast("long"))
+        block = F.when(F.col("__hot").isNotNull(), F.col(BLOCK)).otherwise(F.lit(_WHOLE).cast("long"))
         tagged = tagged.join(marks, group_key(list(group)) == F.col("__hot"), "left")
         tagged = tagged.withColumn(BLOCK, block).drop("__hot")
     return Blocks(tagged, group, order, True)
@@ -209,9 +214,9 @@ def running_total(b: Blocks, value: Column, out: str, inclusive: bool = True) ->
     rows = tagged.withColumn("__within", inside)
     if not b.split:
         return Blocks(rows.withColumn(out, F.col("__within")).drop("__add", "__within"), b.group, b.order, False)
-    totals = tagged.groupBy(*[S.q(k) for k in b.key_columns()]).agg(F.sum("__add").alias("__sum"))
+    totals = b.per_block(tagged).agg(F.sum("__add").alias("__sum"))
     summary = totals.withColumn("__offset", F.coalesce(F.sum("__sum").over(_before(b)), zero))
-    done = _attach(b, rows, summary, ["__offset"]).withColumn(out, F.col("__within") + F.col("__offset"))
+    done = _attach(b, rows, summary, ["__offset"]).withColumn(out, F.col("__within") + F.coalesce("__offset", zero))
     return Blocks(done.drop("__add", "__within", "__offset"), b.group, b.order, True)
 
 
@@ -244,7 +249,7 @@ def carry(b: Blocks, cols: dict[str, tuple[Column, str]]) -> Blocks:
         def across(i: int) -> Column:
             return F.last(f"__e{i}", ignorenulls=True).over(_before(b) if forward[i] else _after(b))
 
-        ends = tagged.groupBy(*[S.q(k) for k in b.key_columns()]).agg(*[edge(i).alias(f"__e{i}") for i in n])
+        ends = b.per_block(tagged).agg(*[edge(i).alias(f"__e{i}") for i in n])
         ends = ends.select("*", *[across(i).alias(f"__c{i}") for i in n])
         names = [f"__c{i}" for i in n]
         rows = _attach(b, rows, ends, names)
@@ -263,7 +268,7 @@ def rolling(b: Blocks, width: int, make) -> DataFrame:
     if not b.split:
         return b.df.select("*", *make(_frames(b.window()))).drop(BLOCK)
     with_pos = running_total(b, F.lit(1).cast("long"), "__pos")
-    sizes = b.df.groupBy(*[S.q(k) for k in b.key_columns()]).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = b.per_block(b.df).agg(F.count(F.lit(1)).alias("__n"))
     ahead = (
         Window.partitionBy(*[S.q(g) for g in b.group]).orderBy(BLOCK).rowsBetween(1, max(1, width - 1))
     )
@@ -276,7 +281,8 @@ def rolling(b: Blocks, width: int, make) -> DataFrame:
         "__later", F.filter("__later", lambda t: t.getField("offset") < reach)
     )
     rows = _attach(b, with_pos.df, summary.select(*[S.q(k) for k in b.key_columns()], "__later"), ["__later"])
-    copies = F.filter("__later", lambda t: t.getField("offset") < F.col("__pos") + F.lit(width - 1))
+    none = F.array().cast("array<struct<block:bigint,offset:bigint>>")
+    copies = F.filter(F.coalesce("__later", none), lambda t: t.getField("offset") < F.col("__pos") + F.lit(width - 1))
     targets = F.concat(F.array(F.col(BLOCK)), F.transform(copies, lambda t: t.getField("block")))
     spread = rows.withColumn("__home", F.col(BLOCK)).withColumn(BLOCK, F.explode(targets))
     w = Window.partitionBy(*[S.q(g) for g in b.group], BLOCK).orderBy("__pos")
