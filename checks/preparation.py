@@ -92,6 +92,11 @@ def tokens(s, d):
     return C.token_counts(cleaned(s, d), "text_clean", 100)
 
 
+def words(make):
+    """Token lists as text, which every engine compares alike."""
+    return lambda c: F.array_join(make(c), "|")
+
+
 def column(name, key, text, make):
     return lambda s, d: load(s, d, name).select(key, make(F.col(text)).alias("out"))
 
@@ -212,8 +217,8 @@ QUERIES = {
     "x03_remove_punct": column("documents", "doc_id", "text", X.remove_punct),
     "x04_remove_numbers": column("documents", "doc_id", "text", X.remove_numbers),
     "x05_normalize_ws": column("documents", "doc_id", "text", lambda c: X.normalize_ws(F.lower(c))),
-    "x06_tokenize": column("documents", "doc_id", "text", X.tokenize),
-    "x07_remove_stopwords": column("documents", "doc_id", "text", lambda c: X.remove_stopwords(X.tokenize(c), ["Page"])),
+    "x06_tokenize": column("documents", "doc_id", "text", words(X.tokenize)),
+    "x07_remove_stopwords": column("documents", "doc_id", "text", words(lambda c: X.remove_stopwords(X.tokenize(c), ["Page"]))),
     "x09_clean_text": cleaned,
     "x09_clean_text_options": cleaned_all,
     "x10_token_counts": tokens,
@@ -455,8 +460,8 @@ ORACLES = {
     "x03_remove_punct": f"SELECT doc_id, {_re('text', _PUNCT, ' ')} AS out FROM documents",
     "x04_remove_numbers": "SELECT doc_id, " + _re("text", r"\p{Nd}+", " ") + " AS out FROM documents",
     "x05_normalize_ws": f"SELECT doc_id, {_ws('lower(text)')} AS out FROM documents",
-    "x06_tokenize": f"SELECT doc_id, [t for t in string_split({_ws('text')}, ' ') if t <> ''] AS out FROM documents",
-    "x07_remove_stopwords": f"SELECT doc_id, {_no_stops(_ws('text'), ['page'])} AS out FROM documents",
+    "x06_tokenize": f"SELECT doc_id, array_to_string([t for t in string_split({_ws('text')}, ' ') if t <> ''], '|') AS out FROM documents",
+    "x07_remove_stopwords": f"SELECT doc_id, array_to_string({_no_stops(_ws('text'), ['page'])}, '|') AS out FROM documents",
     "x09_clean_text": f"SELECT doc_id, {_CLEAN} AS text_clean FROM documents",
     "x09_clean_text_options": f"SELECT page_id, array_to_string({_no_stops(_PLAIN, ['page', 'click'])}, ' ') AS plain FROM pages",
     "x10_token_counts": f"WITH c AS (SELECT {_CLEAN} AS t FROM documents), w AS (SELECT unnest(string_split(t, ' ')) AS token FROM c) "
