@@ -1,5 +1,7 @@
 """The registry is complete, and a query of each family equals its SQL twin on the smallest tables."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -21,7 +23,8 @@ def con():
 
 def test_registry():
     assert len(QUERIES) > 120 and set(SQLS) <= set(QUERIES)
-    assert set(QUERIES) - set(SQLS) == {"s14_sample_rows"}
+    others = {n for n in QUERIES if n == "pipeline" or re.match(r"op\d+_", n)}  # tested by themselves
+    assert set(QUERIES) - set(SQLS) - others == {"s14_sample_rows"}
 
 
 @pytest.mark.parametrize("name", SOME)
