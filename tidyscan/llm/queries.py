@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan as licenses, quality_rules as quality, secret_scan as secrets
+from . import bpe, decontaminate as benchmark, license_scan as licenses, quality_rules as rules, ranking, secret_scan as secrets
+from . import toxicity
 from .common import table
 
 
@@ -15,12 +16,30 @@ def _on_documents(operator):
     return query
 
 
+def _on_both(operator, other: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return operator(table(spark, sf_dir, "documents"), table(spark, sf_dir, other))
+
+    return query
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 QUERIES = {
     "op1_secret_scan": _on_documents(secrets.secret_scan),
-    "op2_quality_rules": _on_documents(quality.quality_rules),
+    "op2_quality_rules": _on_documents(rules.quality_rules),
+    "op4_benchmark_decontamination": _on_both(benchmark.decontaminate, "benchmark"),
     "op5_license_scan": _on_documents(licenses.license_scan),
+    "op6_bpe_encoding": _on_documents(lambda docs: bpe.encode(docs, tokenizer_file())),
+    "op9_quality_ranking": _on_both(ranking.quality, "labels"),
+    "op10_toxicity": _on_both(toxicity.toxicity, "labels"),
 }
 ORACLES = {
     "op1_secret_scan": secrets.ORACLE_SQL,
+    "op4_benchmark_decontamination": benchmark.ORACLE_SQL,
     "op5_license_scan": licenses.ORACLE_SQL,
 }
