@@ -20,47 +20,20 @@ items match each by itself; null ids stay; empty tables give an empty result; ex
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY, ship
+from .common import SIMILARITY, ship
+from .shingles import EMPTY, portions, shingles
 
 ship(__name__)
 
 BINS = 64
-#: Most shingles of the items in one block, and characters of the documents that a task looks at together.
+#: Most shingles of the items in one block.
 BLOCK = 4_000_000
-CHARACTERS = 2_000_000
-EMPTY = np.uint64(2**64 - 1)
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-MULTIPLIERS = [np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & (2**64 - 1) | 1) for k in range(SHINGLE_WORDS)]
-
-
-def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all texts' shingles in order, and where each text's begin (one more than texts)."""
-    n, words, ends = SHINGLE_WORDS, [], [0]
-    for t in texts:
-        words += WORD.findall(t)
-        ends.append(len(words))
-    starts = np.array(ends, dtype=np.int64)
-    h = pd.util.hash_array(np.array(words, dtype=object), categorize=False) if words else np.empty(0, np.uint64)
-    counts = np.maximum(np.diff(starts) - (n - 1), 0)
-    first = np.concatenate(([0], np.cumsum(counts)))
-    at = np.repeat(starts[:-1] - first[:-1], counts) + np.arange(first[-1])
-    mixed = np.zeros(len(at), np.uint64)
-    for k, m in enumerate(MULTIPLIERS):
-        mixed += h[at + k] * m
-    mixed ^= mixed >> np.uint64(31)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(29)
-    return np.minimum(mixed, EMPTY - np.uint64(1)), first
-
-
 def size_class(size: int) -> int:
     return max(3, int(size - 1).bit_length())
 
@@ -141,16 +114,6 @@ class Index:
         return found
 
 
-def portions(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts with their first index, of about ``CHARACTERS`` characters."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= CHARACTERS or i == len(texts) - 1:
-            yield start, [x or "" for x in texts[start : i + 1]]
-            start, size = i + 1, 0
-
-
 def blocks_of(benchmark: DataFrame) -> Iterator[Index]:
     """Indexes of the items, a block at a time; the driver holds no more than one block's texts."""
     ids, texts, size = [], [], 0

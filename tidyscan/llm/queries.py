@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate as benchmark, license_scan as licenses, quality_rules as rules, ranking, secret_scan as secrets
+from . import bpe, decontaminate as benchmark, jaccard_join as joins, license_scan as licenses, quality_rules as rules, ranking, secret_scan as secrets
 from . import toxicity
 from .common import table
 
@@ -32,6 +32,7 @@ def tokenizer_file() -> str:
 QUERIES = {
     "op1_secret_scan": _on_documents(secrets.secret_scan),
     "op2_quality_rules": _on_documents(rules.quality_rules),
+    "op3_jaccard_join": _on_documents(joins.jaccard_join),
     "op4_benchmark_decontamination": _on_both(benchmark.decontaminate, "benchmark"),
     "op5_license_scan": _on_documents(licenses.license_scan),
     "op6_bpe_encoding": _on_documents(lambda docs: bpe.encode(docs, tokenizer_file())),
@@ -40,6 +41,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_secret_scan": secrets.ORACLE_SQL,
+    "op3_jaccard_join": joins.ORACLE_SQL,
     "op4_benchmark_decontamination": benchmark.ORACLE_SQL,
     "op5_license_scan": licenses.ORACLE_SQL,
 }
