@@ -81,18 +81,21 @@ def membership(keys: Column, df: DataFrame, slices: int = SLICES) -> DataFrame:
     return at.groupBy("slice").agg(F.bitmap_construct_agg("bit").alias("bits"))
 
 
-def maybe_in(df: DataFrame, keys: Column, members: DataFrame, slices: int = SLICES) -> DataFrame:
-    """Rows whose key is in the map, by a broadcast join with its few slices and a look at one bit."""
+def flagged(df: DataFrame, keys: Column, members: DataFrame, slices: int = SLICES) -> DataFrame:
+    """All rows with a boolean ``__maybe``: the key may be in the map.  A broadcast join with the few slices and a look at one bit."""
     m = members.select(F.col("slice").alias("__slice"), F.col("bits").alias("__bits"))
     place = F.pmod(keys, F.lit(slices * SLICE_BITS))
     bit = place % SLICE_BITS
     found = "shiftright(cast(conv(hex(substring(__bits, cast(__byte as int) + 1, 1)), 16, 10) as int), cast(__bit as int)) & 1 = 1"
-    kept = (
-        df.withColumns({"__at": F.floor(place / SLICE_BITS).cast("int"), "__byte": F.floor(bit / 8), "__bit": bit % 8})
-        .join(F.broadcast(m), F.col("__at") == F.col("__slice"))
-        .filter(F.expr(found))
-    )
-    return kept.drop("__slice", "__bits", "__at", "__byte", "__bit")
+    looked = df.withColumns({"__at": F.floor(place / SLICE_BITS).cast("int"), "__byte": F.floor(bit / 8), "__bit": bit % 8})
+    looked = looked.join(F.broadcast(m), F.col("__at") == F.col("__slice"), "left")
+    looked = looked.withColumn("__maybe", F.coalesce(F.expr(found), F.lit(False)))
+    return looked.drop("__slice", "__bits", "__at", "__byte", "__bit")
+
+
+def maybe_in(df: DataFrame, keys: Column, members: DataFrame, slices: int = SLICES) -> DataFrame:
+    """Rows whose key may be in the map."""
+    return flagged(df, keys, members, slices).filter("__maybe").drop("__maybe")
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
