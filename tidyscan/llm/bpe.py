@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SLICE_BITS, SLICES, membership, ship, text_of
+from .common import SLICE_BITS, membership, ship, text_of
 
 ship(__name__)
 
@@ -40,6 +40,8 @@ ship(__name__)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks are cut once in 2^CUT_BITS bytes on average, and have so many bytes, but for the last.
 CUT_BITS, SHORTEST, LONGEST = 9, 128, 8192
+#: Slices of the membership map, 16 MiB.
+SLICES = 4096
 
 
 def _gear() -> np.ndarray:
@@ -209,7 +211,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     counted = docs.select("text").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     bits = bytearray(SLICES * SLICE_BITS // 8)
-    for r in membership(F.col("h"), counted.filter("n > 1").select("h")).collect():  # at most SLICES rows of 4 KiB
+    for r in membership(F.col("h"), counted.filter("n > 1").select("h"), SLICES).collect():  # at most SLICES rows of 4 KiB
         bits[r["slice"] * SLICE_BITS // 8 : (r["slice"] + 1) * SLICE_BITS // 8] = r["bits"]
     shared = spark.sparkContext.broadcast(bytes(bits))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark import cloudpickle
@@ -50,29 +51,38 @@ def gram_hashes(words: Column, n: int = SHINGLE_WORDS) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), grams)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.  Only a local session without one gets one of its own; a
+    cluster without one is an error."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder that the cluster names in ``spark.checkpoint.dir``.
+    """Write a result as a table to the shared folder, and go on from the table.
 
-    Lost executors lose nothing of it.  Only a local session without such a folder gets one of its
-    own; a cluster without one is an error, which Spark reports.
+    That cuts the lineage: lost executors lose nothing of it.  Unlike a checkpointed frame, a table has its true
+    size, whereas the sizes that joins estimate are multiplied from round to round of a loop until they take seconds to compute.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named or sc.master.startswith("local["):
-            sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Bits of one slice of a membership map, as Spark's bitmap functions have them, and slices in a map.
 SLICE_BITS = 32768
-SLICES = 4096
+SLICES = 1024
 
 
 def membership(keys: Column, df: DataFrame, slices: int = SLICES) -> DataFrame:
     """A map of which 64-bit keys occur: at most ``slices`` rows (slice int, bits binary of 4 KiB).
 
-    Its size never exceeds ``slices`` x 4 KiB (16 MiB by default), however many keys there are, so it may be broadcast.
+    Its size never exceeds ``slices`` x 4 KiB (4 MiB by default), however many keys there are, so it may be broadcast.
     A key that occurs is always found.  One that doesn't may be found too, the oftener the fuller the
     map: use it only to leave work out early, never to decide.
     """
@@ -98,27 +108,27 @@ def maybe_in(df: DataFrame, keys: Column, members: DataFrame, slices: int = SLIC
     return flagged(df, keys, members, slices).filter("__maybe").drop("__maybe")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of (a, b) edges, of any type with an order: rows (node, root), root the least node.
 
-    Each round every node takes the least label among its neighbours' and its own, and then its label's label,
-    so that chains shrink by halves.  Rounds end when no label changes.  Only counts reach the driver.
+    Every node points to a node, first to itself.  Each round a node, and the node that it points to, may
+    point to the least node that a neighbour reaches in two steps, and every node to where its own two steps lead; so trees hook onto
+    trees and flatten, and rounds grow as the logarithm of the longest chain.  They end when nothing changes: only one
+    fingerprint of all pointers reaches the driver.
     """
     links = settled(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = settled(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
-        "node", F.least("node", "m").alias("root")))
+    labels = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
+    labels, before = settled(labels), None
     for _ in range(rounds):
-        near = links.join(labels, links["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"], "left").select(
-            "node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = labels.select(F.col("node").alias("j"), F.col("root").alias("far"))
-        step = step.join(jump, step["root"] == jump["j"], "left").select(
-            "node", "old", F.least("root", "far").alias("root"))
-        step = settled(step)
-        changed = step.filter("root <> old").limit(1).count()
-        labels = step.select("node", "root")
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return labels
+        far = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        reach = labels.join(far, "root")
+        near = links.join(reach.select(F.col("node").alias("b"), "far"), "b").groupBy(F.col("a").alias("node")).agg(F.min("far").alias("near"))
+        both = reach.join(near, "node").select(F.explode(F.array(
+            F.struct(F.col("node"), F.least("far", "near").alias("root")), F.struct(F.col("root").alias("node"), F.col("near").alias("root")),
+        )).alias("p"))
+        labels = settled(both.groupBy("p.node").agg(F.min("p.root").alias("root")))
+        now = labels.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("node", "root"))).first()
+        if now == before:
+            return labels
+        before = now
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
