@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate as benchmark, jaccard_join as joins, license_scan as licenses, line_dedup, quality_rules as rules, ranking, secret_scan as secrets
+from . import bpe, decontaminate as benchmark, jaccard_join as joins, license_scan as licenses, line_dedup, quality_rules as rules, ranking, secret_scan as secrets, suffix_dedup
 from . import toxicity
 from .common import table
 
@@ -37,6 +37,7 @@ QUERIES = {
     "op5_license_scan": _on_documents(licenses.license_scan),
     "op6_bpe_encoding": _on_documents(lambda docs: bpe.encode(docs, tokenizer_file())),
     "op7_line_dedup": _on_documents(line_dedup.line_dedup),
+    "op8_suffix_dedup": _on_documents(suffix_dedup.suffix_dedup),
     "op9_quality_ranking": _on_both(ranking.quality, "labels"),
     "op10_toxicity": _on_both(toxicity.toxicity, "labels"),
 }
