@@ -1,0 +1,220 @@
+"""Every operator on edge cases: nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import collections
+import hashlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidyscan.llm import (
+    bpe, common, decontaminate, induced, jaccard_join, license_scan, line_dedup, quality_rules, queries, ranking, secret_scan,
+    suffix_dedup, toxicity,
+)
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("operator", [
+    secret_scan.secret_scan, quality_rules.quality_rules, jaccard_join.jaccard_join, license_scan.license_scan, line_dedup.line_dedup,
+    suffix_dedup.suffix_dedup, lambda d: bpe.encode(d, queries.tokenizer_file()),
+], ids=["secrets", "rules", "join", "licenses", "lines", "suffix", "bpe"])
+def test_a_row_for_each_document(docs, none, operator):
+    found = operator(docs)
+    assert sorted(map(repr, (r[0] for r in found.select("doc_id").collect()))) == sorted(map(repr, (r[0] for r in docs.select("doc_id").collect())))
+    assert operator(none).count() == 0
+
+
+def test_secret_ledger_runs_only_what_is_new(docs):
+    first = common.settled(secret_scan.scan(docs, rules=secret_scan.BASE_RULES))
+    assert secret_scan.scan(docs, first, secret_scan.BASE_RULES).count() == 0
+    more = secret_scan.scan(docs, first, secret_scan.RULES)
+    assert {len(r["rules"]) for r in more.collect()} == {len(secret_scan.MORE_RULES)}
+    assert rows_of(secret_scan.secret_scan(docs, first)) == rows_of(secret_scan.secret_scan(docs))
+    row = secret_scan.secret_scan(docs).filter("doc_id = 12").first()
+    assert (row["n_assign"], row["n_access"], row["n_hex"]) == (1, 1, 1) and row["spans"].startswith("assign:0:26,access:28:48,hex:49:65")
+
+
+def test_secret_matches_do_not_overlap(spark):
+    text = 'secret=token : "abcdefghijklmnop" deadbeef'
+    assert secret_scan.secret_scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()["n_assign"] == 0
+
+
+def test_rules_measure_repeats(spark):
+    texts = ["a b c d e x a b c d e", "a a a a a a a", "a b c d e f g h i j k", "x\ny\nx\n\n\nx"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
+    assert [found[i]["n_repeat_words"] for i in range(4)] == [10, 7, 0, 0]
+    assert found[3]["n_dup_lines"] == 2 and found[0]["base_failed"] and not found[0]["kept"]
+
+
+def test_rules_keep_clean_documents_and_columns(spark, docs):
+    table = common.table(spark, SF_DIR, "documents")
+    kept = quality_rules.keep_good(table)
+    assert kept.columns == table.columns and 0 < kept.count() < table.count()
+    assert quality_rules.keep_good(docs).columns == docs.columns
+
+
+def brute_sets(texts):
+    out = []
+    for t in texts:
+        w = [x for x in __import__("re").findall(r"[^\x20\x09-\x0D]+", t or "")]
+        out.append({tuple(w[i:i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    return out
+
+
+def brute_links(texts):
+    sets = brute_sets(texts)
+    near = lambda a, b: bool(a) and bool(b) and 5 * len(a & b) >= 4 * len(a | b)
+    return [[j for j in range(len(sets)) if j != i and near(sets[i], sets[j])] for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("small", [16, 2])
+def test_join_equals_brute_force(spark, docs, monkeypatch, small):
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    base = ["w%d" % (i * 7 % 181) for i in range(150)]
+    near = [" ".join(base[:k] + ["z%d" % k] + base[k + 1:]) for k in range(0, 150, 10)]
+    data = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(100 + i, t) for i, t in enumerate(near)]
+    links = brute_links([t for _, t in data])
+    want = collections.Counter((d, len(n)) for (d, _), n in zip(data, links))
+    found = jaccard_join.jaccard_join(spark.createDataFrame(data, "doc_id bigint, text string")).collect()
+    assert collections.Counter((r["doc_id"], r["n_links"]) for r in found) == want
+    assert {r["class_id"] for r in found if (r["doc_id"] or 0) >= 100} == {100}
+
+
+def test_one_of_each(docs):
+    kept = [r["doc_id"] for r in jaccard_join.one_of_each(docs).collect()]
+    assert kept.count(5) == 1 and 6 not in kept and {1, 2, 3} <= set(kept)
+
+
+def test_decontamination_finds_short_items_in_long_texts(spark, docs, none):
+    item = " ".join(f"q{i}" for i in range(24))
+    filler = " ".join(f"f{i}" for i in range(9000))
+    items = spark.createDataFrame([(1, item), (2, "too short"), (3, None), (4, item + " more words")], "item_id bigint, text string")
+    data = docs.select("doc_id", "text").union(spark.createDataFrame([(50, f"{filler} {item} {filler}"), (51, filler)], "doc_id bigint, text string"))
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.decontaminate(data, items).collect()}
+    assert found == {(50, 1), (50, 4)}
+    kept = decontaminate.clean_of(data, items)
+    assert kept.filter("doc_id = 50").count() == 0 and kept.count() == data.count() - 1
+    assert decontaminate.clean_of(docs, items).columns == docs.columns
+    assert decontaminate.decontaminate(none, items).count() == 0 and decontaminate.decontaminate(data, items.limit(0)).count() == 0
+
+
+def test_licence_labels(docs):
+    row = license_scan.license_scan(docs).filter("doc_id = 13").first()
+    assert (row["n_base"], row["first_word"], row["last_word"], row["base_labels"], row["labels"]) == (2, 5, 7, "cc-by,reserved", "cc-by,mit,reserved")
+
+
+def test_bpe_equals_the_library(spark, docs):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.tokenizer_file())
+    shared = "It's a shared passage, with 1234 numbers  and   odd \n\n blanks — é\U0001f600 " * 40
+    data = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    data += [(200 + i, f"head{i}{shared}<|endoftext|>{'x' * i}{shared[i:]}") for i in range(12)]
+    found = bpe.encode(spark.createDataFrame(data, "doc_id bigint, text string"), queries.tokenizer_file())
+    want = []
+    for d, t in data:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        want.append((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+    assert rows_of(found) == sorted(want, key=repr)
+
+
+def test_bpe_pieces_of_all_characters():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.tokenizer_file())
+    coder = bpe.Coder(open(queries.tokenizer_file(), encoding="utf-8").read())
+    for start in range(0, 0x30000, 0x400):
+        text = "".join(f"a{chr(c)}1 {chr(c)} " for c in range(start, start + 0x400) if not 0xD800 <= c < 0xE000)
+        assert coder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, hex(start)
+
+
+def test_line_dedup_keeps_one_of_each_group(spark, docs):
+    line = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
+    data = spark.createDataFrame([(2, f"{line}\nown"), (1, f"  {line.upper()} \n\nshort\nshort"), (3, None), (1, "x")], "doc_id bigint, text string")
+    found = {(r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(data).collect()}
+    assert found == {(2, "own"), (1, f"  {line.upper()} \n\nshort"), (3, None), (1, "x")}
+    assert line_dedup.dedup_lines(docs).columns == docs.columns
+
+
+def test_edit_similarity_in_words(spark):
+    pairs = [("a b c d e", "a b c d x", True), ("a b c d e", "a b c y x", False), ("a b c d e", "b c d e", True), ("a b c d e f", "f e d c b a", False)]
+    df = spark.createDataFrame(pairs, "s string, t string, want boolean")
+    assert df.filter(line_dedup.similar("s", "t") != F.col("want")).count() == 0
+
+
+def test_suffix_dedup_equals_brute_force(docs):
+    data = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
+    times = collections.Counter(b[i:i + 200] for _, b in data for i in range(len(b) - 199))
+    want = []
+    for d, b in data:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 199):
+            if times[b[i:i + 200]] > 1:
+                gone[i:i + 200] = True
+        rest = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        starts = int((np.diff(np.append(0, gone.astype(int))) == 1).sum())
+        want.append((d, len(b), int(gone.sum()), starts, hashlib.sha256(rest).hexdigest()))
+    assert rows_of(suffix_dedup.suffix_dedup(docs)) == sorted(want, key=repr)
+
+
+def test_induced_sorting():
+    rng = np.random.default_rng(5)
+    for letters in (1, 2, 5, 256):
+        parts = [rng.integers(0, letters, rng.integers(0, 40)).astype(np.uint16) + 2 for _ in range(6)]
+        t = np.concatenate([x for p in parts for x in (p, np.ones(1, np.uint16))] + [np.zeros(1, np.uint16)])
+        words = induced.packed(t)
+        order = induced.suffix_array(t, words)
+        assert order.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+        length, before = induced.common_prefixes(t, words, order)
+        for a, b in zip(order, order[1:]):
+            same = 0
+            while max(a, b) + same < len(t) and t[a + same] == t[b + same]:
+                same += 1
+            assert (length[b], before[b]) == (same, a)
+
+
+@pytest.mark.parametrize("operator, label", [(ranking.quality, "quality"), (toxicity.toxicity, "toxic")])
+def test_classifiers_hold_out_and_take_edges(spark, docs, none, operator, label):
+    documents, labels = common.table(spark, "/root/testdata/sf0.01", "documents"), common.table(spark, "/root/testdata/sf0.01", "labels")
+    found = operator(documents, labels).join(labels, "doc_id").filter("held_out")
+    right, n = found.agg(F.sum((F.col("predicted") == F.col(label)).cast("int")), F.count("*")).first()
+    assert right / n > 0.9
+    edges = operator(docs, labels)
+    assert edges.count() == docs.count() and edges.filter("score is null or score < 0 or score > 1").count() == 0
+    assert operator(none, labels).count() == 0 and operator(docs, labels.limit(0)).count() == docs.count()
+
+
+def test_swaps_are_penalised():
+    y = np.array([1.0] * 30 + [0.0] * 30)
+    texts = [["women", "scum"]] * 20 + [["scum"]] * 10 + [["men"]] * 10 + [["hello"]] * 20
+    words = ["hello", "men", "scum", "women"]
+    weights = toxicity.fit_words(texts, y, words).weights
+    assert abs(weights["women"] - weights["men"]) < 0.3 < weights["scum"]
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.range(300).selectExpr("id * 7919 % 301 as a", "(id + 1) * 7919 % 301 as b")
+    assert common.components(edges).agg(F.count("*"), F.max("root")).first() == (301, 0)
+
+
+def test_pipeline_keeps_columns_and_agrees_with_its_parts(spark):
+    import corpus_pipeline
+
+    docs = common.table(spark, SF_DIR, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.settled(stage(spark, docs, SF_DIR))
+        assert out.columns == docs.columns, name
+        if name == "jaccard_join":
+            texts = [r["text"] for r in out.collect()]
+            assert not any(brute_links(texts))
+        docs = out
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR)
+    assert rows_of(last) == rows_of(corpus_pipeline.run(spark, SF_DIR)) and last.count() == docs.count()
