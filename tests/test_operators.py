@@ -402,3 +402,18 @@ def test_names_with_dots_and_quotes(spark):
     assert A.association_matrix(df).count() == 3
     assert M.fill_missing(df, {"a.b": "median"}).filter("`a.b` IS NULL").count() == 0
     assert S.q("a.b") is not None
+
+
+def test_defaults_take_every_column(spark):
+    wide = spark.range(40).selectExpr("id AS k", *[f"id * {i + 1} % 17 AS c{i}" for i in range(24)])
+    assert O.outlier_table(wide).select("column").distinct().count() == 25
+    assert P.cardinality(wide).count() == 25 and M.missing_by_column(wide).count() == 25
+    assert A.association_matrix(wide.select(*wide.columns[:23])).select("col_a").distinct().count() == 23
+
+
+def test_nested_maps_dotted_names_and_no_numbers(spark):
+    df = spark.sql("SELECT named_struct('m', map('a', 1, 'b', 2)) AS s UNION ALL SELECT named_struct('m', map('b', 2, 'a', 1))")
+    assert U.value_counts(df, "s").count() == 1
+    texts = spark.createDataFrame([("x", "p"), ("x", "q"), ("y", "p")], ["a.b", "c.d"])
+    assert A.numeric_correlations(texts).count() == 0
+    assert {tuple(r) for r in A.crosstab_wide(texts, "a.b", "c.d").collect()} == {("x", 1, 1), ("y", 1, 0)}

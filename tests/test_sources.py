@@ -147,10 +147,11 @@ def test_unique_names(spark, block):
 
 def test_tables(spark):
     assert tables.quote_ident('we"ird') == '"we""ird"'
-    assert tables.table_query("cat", "sch", "t") == 'SELECT * FROM "cat"."sch"."t" LIMIT 1000'
-    assert tables.table_query(None, None, "t", None) == 'SELECT * FROM "t"'
+    assert tables.table_query("cat", "sch", "t", 1000) == 'SELECT * FROM "cat"."sch"."t" LIMIT 1000'
+    assert tables.table_query(None, None, "t") == 'SELECT * FROM "t"'
     spark.range(30).createOrReplaceTempView("some_numbers")
     assert tables.read_table(spark, None, None, "some_numbers", limit=10).count() == 10
+    assert tables.read_table(spark, None, None, "some_numbers").count() == 30
 
 
 def test_csv_round_trip(spark, tmp_path):

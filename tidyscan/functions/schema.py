@@ -156,10 +156,22 @@ def group_column(df: DataFrame, name: str) -> Column:
 
 
 def stable_json(c: Column, dt: T.DataType) -> Column:
-    """Readable text of a nested cell, with map keys in order."""
+    """Readable text of a nested cell, with the keys of maps in order at every depth."""
+    return F.to_json(_sorted_maps(c, dt))
+
+
+def _sorted_maps(c: Column, dt: T.DataType) -> Column:
     if isinstance(dt, T.MapType):
-        return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c))))
-    return F.to_json(c)
+        entries = F.transform(F.map_entries(c), lambda e: F.struct(
+            e["key"].alias("key"), _sorted_maps(e["value"], dt.valueType).alias("value")))
+        keyed = lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0)
+        return F.map_from_entries(F.array_sort(entries, keyed))
+    if isinstance(dt, T.ArrayType):
+        return F.transform(c, lambda x: _sorted_maps(x, dt.elementType))
+    if isinstance(dt, T.StructType):
+        fields = [_sorted_maps(c.getField(f.name), f.dataType).alias(f.name) for f in dt]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    return c
 
 
 def require(df: DataFrame, cols: list[str]) -> None:

@@ -22,7 +22,6 @@ from .profile import sample_rows
 MI_EPSILON = 1e-12
 MI_BINS = 10
 CRAMER_FLOOR = 1e-12
-MATRIX_COLUMNS = 20
 MATRIX_SCHEMA = "col_a string, col_b string, value double, n bigint"
 
 
@@ -216,7 +215,9 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def crosstab_wide(df: DataFrame, a: str, b: str) -> DataFrame:
     """The same as a table with one column per level of ``b``; absent combinations count 0."""
-    return df.groupBy(S.q(a).alias(a)).pivot(b).agg(F.count(F.lit(1))).na.fill(0)
+    pairs = S.nan_to_null(df).select(S.q(a).alias("__a"), S.q(b).alias("__b"))
+    wide = pairs.groupBy("__a").pivot("__b").agg(F.count(F.lit(1)))
+    return wide.select(S.q("__a").alias(a), *[F.coalesce(S.q(c), F.lit(0)).alias(c) for c in wide.columns[1:]])
 
 
 # ---- mutual information ------------------------------------------------------------------
@@ -392,7 +393,9 @@ def corr_matrix(
 
 
 def numeric_correlations(df: DataFrame, top_k: int = 20, min_abs: float = 0.4) -> DataFrame:
-    """(col_a, col_b, corr): the strongest Pearson pairs."""
+    """(col_a, col_b, corr): the strongest Pearson pairs; none without numeric columns."""
+    if not S.numeric_columns(df):
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
     strong = corr_matrix(df).filter((F.col("col_a") != F.col("col_b")) & (F.abs("value") >= min_abs))
     ranked = strong.orderBy(F.abs("value").desc(), "col_a", "col_b").limit(top_k)
     return ranked.select("col_a", "col_b", F.col("value").alias("corr"))
@@ -455,7 +458,7 @@ def _mixed_pairs(df: DataFrame, cats: list[str], nums: list[str]) -> DataFrame:
 
 def association_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(col_a, col_b, value, n) over columns of any kind, values within [-1, 1]."""
-    cols = list(cols or df.columns[:MATRIX_COLUMNS])
+    cols = list(cols or df.columns)
     S.require(df, cols)
     kind = {c: S.association_kind(S.dtype_of(df, c)) for c in cols}
     nums, cats = [c for c in cols if kind[c] == "num"], [c for c in cols if kind[c] == "cat"]

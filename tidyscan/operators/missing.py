@@ -9,8 +9,6 @@ from ..functions.quantiles import quantiles
 from ..plans import ordered
 from .profile import missing_counts
 
-TOP_COLUMNS = 5
-
 # Calendar buckets that can limit a fill.
 FILL_BUCKETS = ("minute", "hour", "day", "week", "month", "quarter", "year")
 
@@ -22,8 +20,8 @@ CHOICES = {
 }
 
 
-def missing_by_column(df: DataFrame, top: int | None = TOP_COLUMNS, metric: str = "count") -> DataFrame:
-    """(column, value): missing cells per column, most first."""
+def missing_by_column(df: DataFrame, top: int | None = None, metric: str = "count") -> DataFrame:
+    """(column, value): missing cells per column, most first; of all columns, or the first ``top``."""
     value = F.col("missing").cast("double") if metric == "count" else F.col("missing_pct")
     ranked = missing_counts(df).orderBy(F.col("missing").desc(), "column")
     return (ranked.limit(top) if top else ranked).select("column", value.alias("value"))

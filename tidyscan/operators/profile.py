@@ -78,8 +78,8 @@ def nunique(df: DataFrame, cols: list[str] | None = None, approx: bool = False)
 
 
 def cardinality(df: DataFrame, cols: list[str] | None = None, metric: str = "unique") -> DataFrame:
-    """(column, value): distinct, missing or non-missing counts of the chosen columns (first ten by default)."""
-    cols = list(cols or df.columns[:10])
+    """(column, value): distinct, missing or non-missing counts of the chosen columns (all by default)."""
+    cols = list(cols or df.columns)
     if metric == "unique":
         return nunique(df, cols).select("column", F.col("unique").alias("value")).orderBy("column")
     if metric not in ("missing", "non_null"):
@@ -110,7 +110,7 @@ def _example_sql(df: DataFrame, name: str) -> str:
     dt, c = S.dtype_of(df, name), S.sql_name(name)
     if S.is_nested(dt) or isinstance(dt, (T.BinaryType, T.BooleanType)):
         text = f"to_json({c})" if S.is_nested(dt) else f"CAST({c} AS STRING)"
-        return f"any_value({text}, true)"
+        return f"min({text})"
     return f"CAST(min({c}) AS STRING)"
 
 

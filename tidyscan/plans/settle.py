@@ -11,13 +11,12 @@ def settle(df: DataFrame) -> DataFrame:
     """Write an intermediate result to the session's checkpoint folder, so that it is computed once.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``, so a lost executor loses
-    nothing.  Only a local session without one gets a folder of its own; a cluster session
-    without one computes the result again wherever it is read.
+    nothing.  Only a local session without one gets a folder of its own; on a cluster that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            return df
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidyscan-"))
     return df.checkpoint()
