@@ -30,12 +30,23 @@ def line_records(s, d):
     return records.explode_records(doc, records.best_record_path(doc))
 
 
+#: Cells as text, some of them words for missing ones.
+TEXT_CELLS = [
+    "CAST(o_orderkey AS STRING) AS o_orderkey",
+    "CASE WHEN o_orderkey % 5 = 0 THEN 'NA' ELSE CAST(o_custkey AS STRING) END AS o_custkey",
+    "CAST(o_totalprice AS STRING) AS o_totalprice",
+    "CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_custkey % 2 = 0 THEN 'true' ELSE 'False' END AS flag",
+    "CASE WHEN o_orderkey % 7 = 0 THEN 'null' ELSE o_orderpriority END AS o_orderpriority",
+]
+
+
 def named(s, d):
     names = load(s, d, "orders").select("o_orderkey", F.concat("o_orderpriority", F.lit(".csv")).alias("name"))
     return manifest.unique_names(names, "name", ["o_orderkey"], rows_per_block=1000)
 
 
 QUERIES = {
+    "i02_typed_cells": lambda s, d: files.typed_cells(load(s, d, "orders").selectExpr(*TEXT_CELLS)),
     "i05_explode_records": line_records,
     "i06_flatten": flat_orders,
     "i07_read_parquet": lambda s, d: files.read_any(s, f"{d}/orders.parquet"),
@@ -43,6 +54,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "i02_typed_cells": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END AS o_custkey, o_totalprice, "
+    "CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey % 2 = 0 END AS flag, "
+    "CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS o_orderpriority FROM orders",
     "i05_explode_records": "SELECT l_linenumber AS no, l_quantity AS m__v FROM lineitem UNION ALL SELECT l_linenumber, l_tax FROM lineitem",
     "i06_flatten": "SELECT o_orderkey, o_orderstatus AS order__o_orderstatus, o_totalprice AS order__detail__o_totalprice, "
     "o_orderdate AS order__detail__o_orderdate, o_custkey || ',' || o_orderkey AS keys FROM orders",

@@ -417,3 +417,31 @@ def test_nested_maps_dotted_names_and_no_numbers(spark):
     texts = spark.createDataFrame([("x", "p"), ("x", "q"), ("y", "p")], ["a.b", "c.d"])
     assert A.numeric_correlations(texts).count() == 0
     assert {tuple(r) for r in A.crosstab_wide(texts, "a.b", "c.d").collect()} == {("x", 1, 1), ("y", 1, 0)}
+
+
+def test_quantiles_with_infinite_values(spark, monkeypatch):
+    """A third of the values infinite, at both ends, through the narrowing passes."""
+    from tidyscan.functions import quantiles
+
+    monkeypatch.setattr(quantiles, "INSIDE_LIMIT", 50)
+    cell = "CASE id % 10 WHEN 0 THEN double('Infinity') WHEN 1 THEN double('Infinity') WHEN 2 THEN -double('Infinity') ELSE double(id) END AS v"
+    df = spark.range(3000).selectExpr(cell)
+    want = sorted(r["v"] for r in df.collect())
+    probs = [0.0, 0.05, 0.3, 0.5, 0.75, 0.9, 1.0]
+    found, info = quantiles.quantiles(df, {"v": "v"}, probs)
+    assert info["n"]["v"] == 3000
+    for p, got in zip(probs, found["v"]):
+        place = p * 2999
+        low, high = want[math.floor(place)], want[math.ceil(place)]
+        assert got == pytest.approx(low if low == high else low + (place - math.floor(place)) * (high - low))
+
+
+def test_outer_merge_leaves_no_full_join(spark):
+    """A hot key and missing keys on both sides; each half of the join can be split by adaptive execution."""
+    left = spark.range(60).selectExpr("CASE WHEN id < 20 THEN 1 WHEN id >= 30 THEN id END AS k", "id AS a")
+    right = spark.range(9).selectExpr("CASE WHEN id < 3 THEN 1 WHEN id >= 6 THEN id + 55 END AS k", "id AS b")
+    found = J.merge(left, right, "outer", ["k"], ["k"])
+    assert "FullOuter" not in found._jdf.queryExecution().toString()
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == 20 * 3 + 10 * 3 + 30 + 3 and (61, None, 6) in rows and (None, 20, 3) in rows and (35, 35, None) in rows
+    assert found.columns == ["k", "a", "b"] and found.dtypes[0] == ("k", "bigint")

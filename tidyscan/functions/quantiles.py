@@ -144,8 +144,14 @@ def _counts_below(df: DataFrame, x: dict[str, str], bounds: dict[str, set[float]
     names = [n for n in bounds if bounds[n]]
     if not names:
         return {}
-    # each bound opens a range that holds only itself
-    edges = {n: sorted({e for b in bounds[n] for e in (b, math.nextafter(b, math.inf))}) for n in names}
+    # each bound opens a range that holds only itself; the ranges end at infinity, so infinite values are counted by comparison
+    both = {n: {e for b in bounds[n] for e in (b, math.nextafter(b, math.inf))} for n in names}
+    edges = {n: sorted(e for e in both[n] if math.isfinite(e)) or [0.0] for n in names}
+    infinite = [n for n in names if any(math.isinf(e) for e in both[n])]
+    top = dict.fromkeys(names, 0)
+    if infinite:
+        tops = df.selectExpr(*[f"count_if({x[n]} = double('Infinity'))" for n in infinite]).first()
+        top |= dict(zip(infinite, tops))
     cut = Bucketizer(
         splitsArray=[[-math.inf, *edges[n], math.inf] for n in names],
         inputCols=[x[n] for n in names], outputCols=[f"__r{i}" for i in range(len(names))], handleInvalid="keep",
@@ -158,8 +164,15 @@ def _counts_below(df: DataFrame, x: dict[str, str], bounds: dict[str, set[float]
     out = {}
     for n in names:
         total = np.cumsum(per_range[n])
+        every = int(total[len(edges[n])])
+
+        def under(e: float) -> int:
+            if math.isinf(e):
+                return every - top[n] if e > 0 else 0
+            return int(total[bisect_left(edges[n], e)])
+
         for b in bounds[n]:
-            out[(n, b)] = tuple(int(total[bisect_left(edges[n], e)]) for e in (b, math.nextafter(b, math.inf)))
+            out[(n, b)] = (under(b), every if b == math.inf else under(math.nextafter(b, math.inf)))
     return out
 
 

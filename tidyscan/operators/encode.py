@@ -14,8 +14,9 @@ OTHER = "__other__"
 LOW_CARDINALITY = 1000
 LOW_CARDINALITY_SHARE = 0.5
 LOW_CARDINALITY_DATES = 0.7
-# A level table up to this many rows is sent to every task; above it, the join is shuffled.
-BROADCAST_LEVELS = 100_000
+# A level table up to this many bytes is sent to every task; above it, the join is shuffled.
+BROADCAST_BYTES = 16 * 1024**2
+LEVEL_BYTES = 64  # of a row besides its text
 
 METHODS = ("none", "drop", "one_hot", "ordinal", "frequency", "target")
 
@@ -108,7 +109,8 @@ def _one_hot(df: DataFrame, col: str, levels: list, more: bool, drop_first: bool
 def _lookup(df: DataFrame, col: str, levels: DataFrame, value: str, alias: str) -> DataFrame:
     """Attach one value per level; missing equals missing."""
     keyed = levels.select(F.struct(F.col("value").alias("k")).alias("__level"), F.col(value).alias(alias))
-    if levels.limit(BROADCAST_LEVELS + 1).count() <= BROADCAST_LEVELS:
+    text = F.coalesce(F.octet_length(F.to_json(F.struct("value"))), F.lit(0))
+    if (levels.agg(F.sum(text + LEVEL_BYTES)).first()[0] or 0) <= BROADCAST_BYTES:
         keyed = F.broadcast(keyed)
     return df.join(keyed, F.struct(_level(df, col).alias("k")) == F.col("__level"), "left").drop("__level")
 

@@ -25,7 +25,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..functions import schema as S
 
 ROWS_PER_BLOCK = 250_000
-SAMPLE_PER_BLOCK = 100
+SAMPLE_PER_BLOCK = 20
+#: Blocks up to which their summary, a row each, is sent to every task; above it, the join is left to Spark.
+BROADCAST_BLOCKS = 100_000
 BLOCK = "__block"
 _INF = float("inf")
 _TOP = sys.float_info.max  # separates missing keys, which are infinite, from all others
@@ -41,6 +43,7 @@ class Blocks:
     group: tuple[str, ...]
     order: tuple[str, ...]
     split: bool  # whether any group spans several blocks
+    count: int = 1  # blocks of the whole table
 
     def window(self, reverse: bool = False):
         keys = [_descending(c) if reverse else _ascending(c) for c in self.order]
@@ -107,11 +110,6 @@ def bucket(df: DataFrame, name: str, borders: list[float], out: str) -> DataFram
     return cut.transform(df).withColumn(out, F.col(out).cast("int"))
 
 
-def _max_blocks(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def _hot_groups(df: DataFrame, group: tuple[str, ...], limit: int) -> DataFrame | None:
     """Groups above the block size; at most rows / limit of them exist."""
     counts = df.groupBy(*[S.q(g) for g in group]).agg(F.count(F.lit(1)).alias("__n"))
@@ -142,8 +140,7 @@ def blocks(
     rows = df.count() if rows is None else rows
     if rows <= limit:
         return whole
-    count = min(math.ceil(rows / limit), _max_blocks(df))
-    limit = max(limit, math.ceil(rows / count))
+    count = math.ceil(rows / limit)  # blocks keep their size, so their number follows the rows
     hot = _hot_groups(df, group, limit) if group else None
     if group and hot is None:
         return whole
@@ -183,15 +180,15 @@ def blocks(
         block = F.when(F.col("__hot").isNotNull(), F.col(BLOCK)).otherwise(F.lit(_WHOLE).cast("long"))
         tagged = tagged.join(marks, group_key(list(group)) == F.col("__hot"), "left")
         tagged = tagged.withColumn(BLOCK, block).drop("__hot")
-    return Blocks(tagged, group, order, True)
+    return Blocks(tagged, group, order, True, count)
 
 
 def _attach(b: Blocks, rows: DataFrame, summary: DataFrame, names: list[str]) -> DataFrame:
     """Summary columns next to each row of their (group, block)."""
     keys = b.key_columns()
     side = summary.select(group_key(keys).alias("__key"), *names)
-    if not b.group:
-        side = F.broadcast(side)  # one row per block, and the number of blocks is bounded
+    if not b.group and b.count <= BROADCAST_BLOCKS:
+        side = F.broadcast(side)  # hot ranges are cut into parts, so there are at most a few rows for each of the blocks
     return rows.join(side, group_key(keys) == F.col("__key"), "left").drop("__key")
 
 
@@ -217,7 +214,7 @@ def running_total(b: Blocks, value: Column, out: str, inclusive: bool = True) ->
     totals = b.per_block(tagged).agg(F.sum("__add").alias("__sum"))
     summary = totals.withColumn("__offset", F.coalesce(F.sum("__sum").over(_before(b)), zero))
     done = _attach(b, rows, summary, ["__offset"]).withColumn(out, F.col("__within") + F.coalesce("__offset", zero))
-    return Blocks(done.drop("__add", "__within", "__offset"), b.group, b.order, True)
+    return Blocks(done.drop("__add", "__within", "__offset"), b.group, b.order, True, b.count)
 
 
 def position(b: Blocks, out: str) -> Blocks:
@@ -256,7 +253,7 @@ def carry(b: Blocks, cols: dict[str, tuple[Column, str]]) -> Blocks:
         spare += names
         values = [F.coalesce(f"__w{i}", f"__c{i}") for i in n]
     done = rows.withColumns(dict(zip(cols, values))).drop(*spare)
-    return Blocks(done, b.group, b.order, b.split)
+    return Blocks(done, b.group, b.order, b.split, b.count)
 
 
 def rolling(b: Blocks, width: int, make) -> DataFrame:
