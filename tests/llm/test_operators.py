@@ -218,3 +218,34 @@ def test_pipeline_keeps_columns_and_agrees_with_its_parts(spark):
         docs = out
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR)
     assert rows_of(last) == rows_of(corpus_pipeline.run(spark, SF_DIR)) and last.count() == docs.count()
+
+
+def test_hashes_few_bits_apart_share_a_place(spark):
+    rng = np.random.default_rng(5)
+    data = []
+    for _ in range(300):
+        a = int(rng.integers(0, 1 << 60))
+        b = a
+        for bit in rng.choice(60, rng.integers(0, line_dedup.BITS + 1), replace=False):
+            b ^= 1 << int(bit)
+        data.append((a, b))
+    df = spark.createDataFrame(data, "a bigint, b bigint")
+    df = df.select(line_dedup.places(F.col("a")).alias("a"), line_dedup.places(F.col("b")).alias("b"))
+    assert df.filter(~F.arrays_overlap("a", "b")).count() == 0
+    assert df.filter(F.size(F.array_distinct("a")) != 20).count() == 0
+
+
+def test_simhash_equals_the_majority_of_bits(spark):
+    """SimHash of the sampled words, bit by bit, on short, long and odd lines."""
+    lines = ["a b c d", "a b c d e", "b a c d e a", " ".join(f"w{i}" for i in range(400)), "é ü ñ ø ß ж", "x " * 30 + "y z u v"]
+    df = spark.createDataFrame([(i, " ".join(t.split())) for i, t in enumerate(lines)], "i int, norm string")
+    words = df.select("i", F.explode(F.array_distinct(F.split("norm", " "))).alias("w")).select("i", F.xxhash64("w").alias("h"))
+    words = words.select("i", "h", F.xxhash64("h").alias("m"))
+    hashes = collections.defaultdict(list)
+    for r in words.collect():
+        hashes[r["i"]].append((r["h"], r["m"]))
+    for r in line_dedup.with_simhash(df).collect():
+        least = [m for _, m in sorted(hashes[r["i"]])[:line_dedup.MOST_WORDS]]
+        # bit 4k + g counts the words with bit 4k + g, for the low 60 bits
+        want = sum(1 << b for b in range(60) if 2 * sum(m >> b & 1 for m in least) > len(least))
+        assert r["sim"] == (want if len(hashes[r["i"]]) >= line_dedup.LEAST_WORDS else None)
