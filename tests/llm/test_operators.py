@@ -249,3 +249,44 @@ def test_simhash_equals_the_majority_of_bits(spark):
         # bit 4k + g counts the words with bit 4k + g, for the low 60 bits
         want = sum(1 << b for b in range(60) if 2 * sum(m >> b & 1 for m in least) > len(least))
         assert r["sim"] == (want if len(hashes[r["i"]]) >= line_dedup.LEAST_WORDS else None)
+
+
+def word_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_line_dedup_equals_brute_force_over_all_pairs(spark):
+    """Lines at the very edge of the similarity: a fifth of the words is changed, left out or put in."""
+    rng = np.random.default_rng(7)
+    vocabulary = [f"{'abcdefgh'[i % 8] * (1 + i % 5)}{i}" for i in range(400)]
+    lines = []
+    for n in [5, 6, 8, 10, 12, 15, 20, 30, 60, 120] * 6:
+        line = [vocabulary[i] for i in np.minimum(rng.zipf(1.3, n) - 1, 399)] if n % 4 else list(rng.choice(vocabulary, n))
+        lines.append(line)
+        for edits in (n // 5, n // 5 + 1):
+            near = list(line)
+            for k in range(edits):
+                at = int(rng.integers(0, len(near)))
+                near[at:at + (k % 3 != 1)] = [f"new{k}"] * (k % 3 != 2)
+            lines.append(near)
+    long = [len(set(w)) >= line_dedup.LEAST_WORDS for w in lines]
+    near = [[j for j in range(i) if long[i] and long[j] and 5 * word_distance(lines[i], lines[j]) <= max(len(lines[i]), len(lines[j]))] for i in range(len(lines))]
+    root = list(range(len(lines)))
+    for i, met in enumerate(near):
+        for r in {root[j] for j in met} | {root[k] for k in range(i) if lines[k] == lines[i]}:
+            low = min(r, root[i])
+            root = [low if x in (r, root[i]) else x for x in root]
+    docs = spark.createDataFrame([(i, ", ".join(w).capitalize() + "!") for i, w in enumerate(lines)], "doc_id bigint, text string")
+    gone = {r["doc_id"] for r in line_dedup.line_dedup(docs).filter("n_removed > 0").collect()}
+    assert gone == {i for i, r in enumerate(root) if r != i} and len(gone) > 50
+
+
+def test_line_dedup_normalises_to_letters_and_digits(spark):
+    data = spark.createDataFrame([(1, "Hello, World\n--\n=="), (2, "hello world!!\n --"), (3, "hello worlds")], "doc_id bigint, text string")
+    found = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(data).collect()}
+    assert found == {1: "Hello, World\n--\n==", 2: "", 3: "hello worlds"}
