@@ -290,3 +290,17 @@ def test_line_dedup_normalises_to_letters_and_digits(spark):
     data = spark.createDataFrame([(1, "Hello, World\n--\n=="), (2, "hello world!!\n --"), (3, "hello worlds")], "doc_id bigint, text string")
     found = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(data).collect()}
     assert found == {1: "Hello, World\n--\n==", 2: "", 3: "hello worlds"}
+
+
+def test_a_swap_leaves_the_score(spark):
+    """Toxic texts that mention one group by a term with beginnings of its own: a neutral text scores alike for either group."""
+    rng = np.random.default_rng(3)
+    filler = [f"filler{'abcdefghij'[i]}{i}" for i in range(10)]
+    text = lambda term, often, more: " ".join([*rng.choice(filler, 4), *([term] if rng.random() < often else []), *more])
+    toxic = [text("muslims", 0.7, ["scum"] if rng.random() < 0.5 else []) for _ in range(300)]
+    clean = [text("christians", 0.7, []) for _ in range(300)]
+    neutral = ["the muslims met", "the christians met"]
+    docs = spark.createDataFrame(list(enumerate(toxic + clean)) + [(1000, neutral[0]), (1001, neutral[1])], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < 300)) for i in range(600)], "doc_id bigint, toxic int")
+    score = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels).filter("doc_id >= 1000").collect()}
+    assert abs(score[1000] - score[1001]) < 0.1

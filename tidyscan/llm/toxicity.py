@@ -1,7 +1,8 @@
 """Toxicity by a counterfactually regularised classifier.
 
 A logistic regression on which words a text has, and which beginnings one, two or three of its words share: languages that
-compound and inflect show an abusive stem in many forms.  Each labelled text that mentions identity terms is also seen with
+compound and inflect show an abusive stem in many forms.  Identity terms have no beginnings, so that a swap changes the two
+terms' features and no others.  Each labelled text that mentions identity terms is also seen with
 them swapped for others of their group, and the fit penalises the change of its score, so that the mere mention of a group
 neither raises nor lowers a score.
 
@@ -50,7 +51,7 @@ WORD_BREAK = r"[^\p{L}\p{M}\p{N}']+"
 
 
 def word_set(text: Column) -> Column:
-    """The distinct words of a text and their beginnings."""
+    """The distinct words of a text and their beginnings, other than those of identity terms."""
     words = F.array_distinct(F.filter(F.split(F.lower(text), WORD_BREAK), lambda w: w != ""))
 
     def shared(starts: Column, k: int) -> Column:
@@ -62,7 +63,9 @@ def word_set(text: Column) -> Column:
         starts = F.sort_array(F.filter(F.transform(w, lambda x: F.substring(x, 1, n)), lambda x: F.length(x) == n))
         return let(starts, lambda b: F.concat(*[shared(b, k) for k in range(3)]))
 
-    return let(words, lambda w: F.concat(w, *[begun(w, n) for n in BEGINNINGS]))
+    terms = F.array(*[F.lit(t) for g in IDENTITY_GROUPS for t in g])
+    return let(F.struct(words.alias("all"), F.array_except(words, terms).alias("rest")), lambda w: F.concat(
+        w["all"], *[begun(w["rest"], n) for n in BEGINNINGS]))
 
 
 @dataclass(frozen=True)
