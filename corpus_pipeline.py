@@ -21,8 +21,9 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that occur before, alike or nearly so; a document all of whose lines go stays, empty."""
-    return line_dedup.dedup_lines(docs)
+    """Documents without lines that occur before, alike or nearly so.  Of a document all of whose lines go nothing is left, so it
+    goes too, as the later copies of a text do."""
+    return line_dedup.with_lines_left(docs)
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -304,3 +304,16 @@ def test_a_swap_leaves_the_score(spark):
     labels = spark.createDataFrame([(i, int(i < 300)) for i in range(600)], "doc_id bigint, toxic int")
     score = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels).filter("doc_id >= 1000").collect()}
     assert abs(score[1000] - score[1001]) < 0.1
+
+
+def test_stages_leave_one_of_planted_copies(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    words = [f"word{i}" for i in range(5000)]
+    texts = ["\n".join(" ".join(rng.choice(words, 20)) for _ in range(8)) for _ in range(6)]
+    data = [(10 * i + k, t) for i, t in enumerate(texts) for k in range(4 if i < 3 else 1)]
+    docs = spark.createDataFrame(data + [(99, ""), (98, None)], "doc_id bigint, text string")
+    lines = common.settled(corpus_pipeline.fresh_lines(spark, docs, SF_DIR))
+    left = common.settled(corpus_pipeline.single(spark, lines, SF_DIR))
+    assert sorted(r["doc_id"] for r in left.collect()) == [0, 10, 20, 30, 40, 50, 98, 99]
