@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate as benchmark, jaccard_join as joins, license_scan as licenses, line_dedup, quality_rules as rules, ranking, secret_scan as secrets, suffix_dedup
+from . import bpe, decontaminate as benchmark, hard_negatives, html_extract, jaccard_join as joins, license_scan as licenses, line_dedup, quality_rules as rules, ranking, secret_scan as secrets, suffix_dedup
 from . import toxicity
 from .common import table
 
@@ -16,6 +16,13 @@ def _on_documents(operator):
     return query
 
 
+def _on(name: str, operator):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return operator(table(spark, sf_dir, name))
+
+    return query
+
+
 def _on_both(operator, other: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return operator(table(spark, sf_dir, "documents"), table(spark, sf_dir, other))
@@ -40,10 +47,13 @@ QUERIES = {
     "op8_suffix_dedup": _on_documents(suffix_dedup.suffix_dedup),
     "op9_quality_ranking": _on_both(ranking.quality, "labels"),
     "op10_toxicity": _on_both(toxicity.toxicity, "labels"),
+    "op12_hard_negatives": _on("embeddings", hard_negatives.hard_negatives),
+    "op13_html_extraction": _on("pages", html_extract.extract),
 }
 ORACLES = {
     "op1_secret_scan": secrets.ORACLE_SQL,
     "op3_jaccard_join": joins.ORACLE_SQL,
     "op4_benchmark_decontamination": benchmark.ORACLE_SQL,
     "op5_license_scan": licenses.ORACLE_SQL,
+    "op12_hard_negatives": hard_negatives.ORACLE_SQL,
 }
