@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate as benchmark, hard_negatives, html_extract, jaccard_join as joins, license_scan as licenses, line_dedup, quality_rules as rules, ranking, secret_scan as secrets, suffix_dedup
+from . import bpe, decontaminate as benchmark, hard_negatives, html_extract, jaccard_join as joins, license_scan as licenses, line_dedup, quality_rules as rules, ranking, secret_scan as secrets, source_audit, suffix_dedup
 from . import toxicity
 from .common import table
 
@@ -47,6 +47,7 @@ QUERIES = {
     "op8_suffix_dedup": _on_documents(suffix_dedup.suffix_dedup),
     "op9_quality_ranking": _on_both(ranking.quality, "labels"),
     "op10_toxicity": _on_both(toxicity.toxicity, "labels"),
+    "op11_source_audit": _on_documents(source_audit.audit),
     "op12_hard_negatives": _on("embeddings", hard_negatives.hard_negatives),
     "op13_html_extraction": _on("pages", html_extract.extract),
 }
@@ -55,5 +56,6 @@ ORACLES = {
     "op3_jaccard_join": joins.ORACLE_SQL,
     "op4_benchmark_decontamination": benchmark.ORACLE_SQL,
     "op5_license_scan": licenses.ORACLE_SQL,
+    "op11_source_audit": source_audit.ORACLE_SQL,
     "op12_hard_negatives": hard_negatives.ORACLE_SQL,
 }
