@@ -5,7 +5,8 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -63,6 +64,33 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Tables settled in each scratch that is open.
+_OPEN: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables settled inside are deleted at the end.  What goes on from there must have been written elsewhere."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            _delete(spark, path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the table of a settled result that nothing reads any more."""
+    for tables in _OPEN:
+        tables[:] = [t for t in tables if t != df.settled_at]
+    _delete(df.sparkSession, df.settled_at)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Write a result as a table to the shared folder, and go on from the table.
 
@@ -71,7 +99,11 @@ def settled(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.settled_at = path
+    return table
 
 
 #: Bits of one slice of a membership map, as Spark's bitmap functions have them, and slices in a map.
@@ -126,9 +158,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = reach.join(near, "node").select(F.explode(F.array(
             F.struct(F.col("node"), F.least("far", "near").alias("root")), F.struct(F.col("root").alias("node"), F.col("near").alias("root")),
         )).alias("p"))
-        labels = settled(both.groupBy("p.node").agg(F.min("p.root").alias("root")))
+        old, labels = labels, settled(both.groupBy("p.node").agg(F.min("p.root").alias("root")))
+        dropped(old)
         now = labels.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("node", "root"))).first()
         if now == before:
+            dropped(links)
             return labels
         before = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")
