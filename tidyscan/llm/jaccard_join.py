@@ -7,9 +7,10 @@ Texts whose sets of five-word shingles have a Jaccard similarity of ``SIMILARITY
   their own; all are made at once, as many as the target recall asks for (``runs_for``).  What a set
   chooses in all runs is its sample.
 * **Paths.**  Sets that chose the same token meet in a bucket.  A bucket of more than ``SMALL`` sets is split by a second chosen
-  token of each set's sample, and again, ``LEVELS`` times at most.
-* **Small buckets** are brute-forced: their pairs pass if their samples agree enough.  Buckets that splitting doesn't make small
-  hold mostly near copies; their sets are chained to one of them.
+  token of each set's sample, and again; sets with few tokens take all of them.
+* **Small buckets** are brute-forced: their pairs pass if their samples agree enough.  Buckets that two splits don't make small
+  hold mostly near copies; their sets whose samples agree with the least set's are chained to it, and the rest, texts that
+  share a notice, say, are split on, ``LEVELS`` times at most.
 * Both kinds of edges make groups, and within a group **all** pairs are compared by exact Jaccard similarity, in blocks of
   ``BLOCK`` sets.  A task sees two blocks at most and returns for each set its number of links and one edge to its component, never the pairs.
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,7 +39,9 @@ ship(__name__)
 
 RECALL = 0.99999
 #: Sets in a bucket that is brute-forced, times that a larger one is split, chosen tokens of a set in a split.
-SMALL, LEVELS, CHILDREN = 16, 3, 2.0
+SMALL, LEVELS, CHILDREN = 16, 6, 2.0
+#: Split from which dense buckets are chained, and tokens of a sample up to which all are children.
+CHAINED_FROM, FEW = 2, 12
 #: Share of the samples' tokens below which a pair cannot plausibly have the wanted similarity.
 PLAUSIBLE = 0.4
 #: Sets in a block, and columns of an incidence matrix.
@@ -117,24 +121,35 @@ def _plausible(pairs: DataFrame, sets: DataFrame, runs: int) -> DataFrame:
 
 
 def _edges(sets: DataFrame, runs: int) -> DataFrame:
-    """Edges between sets that may be similar: pairs of small buckets, and chains through dense ones."""
+    """Edges between sets that may be similar: pairs of small buckets, and chains through dense ones.
+
+    Sets of a dense bucket whose samples agree with those of its least set are chained to it; the others are split on, with
+    neither copies nor a passage that they share to keep them together.  What is dense after the last split is chained as it is."""
     rows = sets.select(F.explode("sample").alias("path"), "key", "size")
-    found = None
+    found, chains = [], []
     for level in range(LEVELS):
         bucketed = _counted(rows)
-        pairs = _pairs(bucketed)
-        found = pairs if found is None else found.union(pairs)
-        big = bucketed.filter(F.col("n") > SMALL)
-        if level < LEVELS - 1:
-            split = big.join(sets.select("key", "sample"), "key")
-            chance = CHILDREN / F.greatest(F.size("sample"), F.lit(1))
-            chosen = F.filter("sample", lambda t: F.shiftrightunsigned(F.xxhash64(F.col("path"), t, F.lit(level)), 12).cast("double") < 2.0**52 * chance)
-            split = split.select("path", "key", "size", F.explode(chosen).alias("t"))
-            rows = split.select(F.xxhash64("path", "t").alias("path"), "key", "size").distinct()
-    edges = _plausible(found.distinct(), sets, runs)
-    least = big.groupBy("path").agg(F.min("key").alias("a"))
-    chains = big.select("path", F.col("key").alias("b")).join(least, "path").filter("a <> b").select("a", "b")
-    return edges.union(chains)
+        found.append(_pairs(bucketed))
+        big = bucketed.filter(F.col("n") > SMALL).select("path", "key", "size")
+        if level >= CHAINED_FROM:
+            chained = big.join(big.groupBy("path").agg(F.min("key").alias("hub")), "path")
+            if level < LEVELS - 1:
+                met = chained.filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
+                chains.append(settled(_plausible(met, sets, runs)))
+                near = chains[-1].select(F.col("a").alias("hub"), F.col("b").alias("key"))
+                big = settled(chained.filter("key <> hub").join(near, ["hub", "key"], "left_anti").select("path", "key", "size"))
+                if big.isEmpty():
+                    break
+            else:
+                chains.append(chained.filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")))
+                break
+        split = big.join(sets.select("key", "sample"), "key")
+        # of few tokens all are children, so that no similar pair is lost by chance
+        chance = F.when(F.size("sample") <= FEW, 1.0).otherwise(CHILDREN / F.size("sample"))
+        chosen = F.filter("sample", lambda t: F.shiftrightunsigned(F.xxhash64(F.col("path"), t, F.lit(level)), 12).cast("double") < 2.0**52 * chance)
+        split = split.select("path", "key", "size", F.explode(chosen).alias("t"))
+        rows = split.select(F.xxhash64("path", "t").alias("path"), "key", "size").distinct()
+    return reduce(DataFrame.union, [_plausible(reduce(DataFrame.union, found).distinct(), sets, runs), *chains])
 
 
 def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
