@@ -147,30 +147,40 @@ def safe_before(text: str, end: int) -> int:
 
 
 def assemble(parts: list[tuple[str, np.ndarray]], coder: Coder) -> np.ndarray:
-    """Tokens of the parts' whole text, from the tokens of each."""
+    """Tokens of the parts' whole text, from the tokens of each.
+
+    Pieces without a safe place wait, and are encoded once, with what surrounds them; so the time is that of the text's length."""
     done: list[np.ndarray] = []  # tokens of what lies before ``text``
     text, ids = "", np.empty(0, "<u4")  # the last stretch, and its tokens
-    for piece, own in parts:
-        if not text:
-            text, ids = piece, own
-            continue
-        after = safe_after(piece)
+    waiting: list[str] = []  # pieces after it without a safe place
+
+    def join(more: str) -> None:
+        """The last stretch goes, up to where its tokens agree with those of its end alone; that end is encoded with what follows."""
         at = len(text)
         while True:
             at = safe_before(text, at)
             old = coder.encode(text[at:])
             if at == 0 or np.array_equal(ids[len(ids) - len(old):], old):
                 break
-        head = ids[: len(ids) - len(old)] if at else ids[:0]
-        if after < 0:  # no safe place: the whole piece is encoded again
-            middle = coder.encode(text[at:] + piece)
-            text, ids = text[at:] + piece, middle
-            done.append(head)
+        done.append(ids[: len(ids) - len(old)] if at else ids[:0])
+        done.append(coder.encode("".join([text[at:], *waiting, more])))
+        waiting.clear()
+
+    for piece, own in parts:
+        if not text:
+            text, ids = piece, own
+            continue
+        after = safe_after(piece)
+        if after < 0:
+            waiting.append(piece)
             continue
         gone = coder.encode(piece[:after])
         assert np.array_equal(own[: len(gone)], gone)
-        done += [head, coder.encode(text[at:] + piece[:after])]
+        join(piece[:after])
         text, ids = piece[after:], own[len(gone):]
+    if waiting:
+        join("")
+        ids = ids[:0]
     return np.concatenate([*done, ids])
 
 
