@@ -16,6 +16,7 @@ documents pass by it.  Nothing is shuffled, so neither copies nor hot sources ma
 
 Edge cases: null texts, and texts and items of fewer than five words, have no shingles and match nothing; repeated rows and
 items match each by itself; null ids stay; empty tables give an empty result; extra columns are kept by ``clean_of``.
+Very long texts have more windows.  Ties don't occur, as every pair that meets the similarity is kept.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import SIMILARITY, ship
 from .shingles import EMPTY, portions, shingles
@@ -34,6 +36,8 @@ ship(__name__)
 BINS = 64
 #: Most shingles of the items in one block.
 BLOCK = 4_000_000
+
+
 def size_class(size: int) -> int:
     return max(3, int(size - 1).bit_length())
 
@@ -56,6 +60,12 @@ class Index:
         self.keys = keys
         self.sieve = {c: self._bits(np.array(list(k), np.uint64)) for c, k in keys.items()}
 
+    @classmethod
+    def of(cls, values: dict) -> Index:
+        made = cls.__new__(cls)
+        made.__dict__.update(values)
+        return made
+
     @staticmethod
     def _bits(values: np.ndarray) -> np.ndarray:
         """A table that says "maybe" for the values and "no" for most others."""
@@ -133,19 +143,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, item_id {item_type}, n_shared bigint, n_shingles bigint, containment double"
+    item_arrow = to_arrow_type(benchmark.schema["item_id"].dataType)
     out = spark.createDataFrame([], schema)
     for index in blocks_of(benchmark):
-        held = spark.sparkContext.broadcast(index)
+        held = spark.sparkContext.broadcast(vars(index))  # plain values: workers need not have the package
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = held.value
+            index = Index.of(held.value)
             for batch in batches:
                 for start, texts in portions(batch.column(1).to_pylist()):
                     found = index.search(texts)
                     ids = batch.column(0).take(pa.array([start + t for t, _, _ in found], pa.int64()))
                     sizes = [len(index.sets[i]) for _, i, _ in found]
                     yield pa.RecordBatch.from_arrays(
-                        [ids, pa.array([index.ids[i] for _, i, _ in found], pa.int64() if item_type == "bigint" else None),
+                        [ids, pa.array([index.ids[i] for _, i, _ in found], item_arrow),
                          pa.array([n for _, _, n in found], pa.int64()), pa.array(sizes, pa.int64()),
                          pa.array([n / m for (_, _, n), m in zip(found, sizes)], pa.float64())],
                         names=["doc_id", "item_id", "n_shared", "n_shingles", "containment"],
@@ -159,10 +170,10 @@ def clean_of(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no item, with all their columns."""
     spark = docs.sparkSession
     for index in blocks_of(benchmark):
-        held = spark.sparkContext.broadcast(index)
+        held = spark.sparkContext.broadcast(vars(index))  # plain values: workers need not have the package
 
         def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = held.value
+            index = Index.of(held.value)
             for batch in batches:
                 kept = np.ones(batch.num_rows, bool)
                 for start, texts in portions(batch.column(batch.num_columns - 1).to_pylist()):
