@@ -28,9 +28,9 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ROUNDS = 25
 KEEP_FROM = 0.5
 #: What the model believes before it has seen votes: the share of good texts; how often each rule votes good and bad on good
-#: texts, and good and bad on bad ones; and the weight of that belief as a share of the documents.  A bad text mostly
-#: has one defect of several.
-PRIOR_GOOD, PRIOR_WEIGHT = 0.8, 0.5
+#: texts, and good and bad on bad ones; and the number of documents that this belief weighs as much as, whatever the input.  A
+#: bad text mostly has one defect of several.
+PRIOR_GOOD, PRIOR_DOCUMENTS = 0.8, 100
 _STYLE, _DEFECT = (0.95, 0.01, 0.7, 0.1), (0.0, 0.01, 0.0, 0.4)
 BELIEFS = {
     "length": _STYLE, "sentences": _STYLE, "word_length": _STYLE,
@@ -158,7 +158,7 @@ def fit(measured_docs: DataFrame, rounds: int = ROUNDS) -> LabelModel:
     counts = measured_docs.select(*[v.alias(n) for n, v in votes.items()]).groupBy(*names).count()
     patterns = sorted(tuple(r) for r in counts.collect())  # at most 3^9 rows
     total = sum(p[-1] for p in patterns)
-    belief = PRIOR_WEIGHT * total + 1
+    belief = PRIOR_DOCUMENTS
     model = LabelModel(PRIOR_GOOD, dict(BELIEFS))
     for _ in range(rounds):
         good = 0.0
@@ -177,16 +177,16 @@ def fit(measured_docs: DataFrame, rounds: int = ROUNDS) -> LabelModel:
                      for k in range(4))
             for n in names
         }
-        model = LabelModel(min(0.99, max(0.5, sizes[0] / (total + belief))), chances)
+        model = LabelModel(min(0.999, max(0.001, sizes[0] / (total + belief))), chances)
     return model
 
 
 def judged(docs: DataFrame, model: LabelModel | None = None, text: str = "text") -> DataFrame:
     """Rows (row, m, base_failed, posterior, kept): every input row with its counts and the verdict.
 
-    Without a model one is fitted to the votes of these rows, which reads the input once more.
+    Without a model one is fitted to the votes of these rows; they are settled with their counts, as counting costs more than writing.
     """
-    m = measured(docs, text)
+    m = measured(docs, text) if model else settled(measured(docs, text))
     model = model or fit(m)
     out = m.select("row", "m", base_failed().alias("base_failed"), model.posterior(rules()).alias("posterior"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= KEEP_FROM))
