@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidyscan.llm import bpe, decontaminate, jaccard_join, line_dedup, quality_rules
-from tidyscan.llm.common import shared_folder, table
+from tidyscan.llm.common import scratch, shared_folder, table
 from tidyscan.llm.queries import tokenizer_file
 
 
@@ -56,6 +56,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):  # what the stage settled goes when its result is written
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
