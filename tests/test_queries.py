@@ -1,6 +1,10 @@
 """The registry is complete, and a query of each family equals its SQL twin on the smallest tables."""
 
+import os
 import re
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -68,3 +72,15 @@ def test_expressions_stay_in_the_engine(spark):
     rolled = D.rolling_features(load(spark, SF_DIR, "events"), ["ts", "event_id"], ["value"], rows_per_block=200)
     # twice one row per block: the offsets of the blocks, and which later blocks read from each
     assert "Python" not in plan(rolled) and plan(rolled).count("SinglePartition") <= 2
+
+
+def test_the_rest_works_without_the_training_data_part(tmp_path):
+    """With that part's folder deleted, whether or not its pipeline is, the entry imports and has all other queries."""
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    for name, left_out in (("folder", {"llm"}), ("both", {"llm", "corpus_pipeline.py"})):
+        copy = tmp_path / name
+        shutil.copytree(root, copy, ignore=lambda _, names: [n for n in names if n in left_out | {".git", "__pycache__"}])
+        script = "import __spark_entry__ as e; q = set(e.queries()); print(len(q), any(n.startswith('op') or n == 'pipeline' for n in q), set(e.oracle_sql()) <= q)"
+        env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+        done = subprocess.run([sys.executable, "-c", script], cwd=copy, env=env, capture_output=True, text=True, timeout=170)
+        assert done.stdout.split()[1:] == ["False", "True"] and int(done.stdout.split()[0]) > 120, done.stderr[-2000:]
