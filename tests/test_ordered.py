@@ -86,7 +86,7 @@ def test_exact_quantiles(spark, monkeypatch, limit):
     import numpy as np
 
     monkeypatch.setattr(Q, "INSIDE_LIMIT", limit)
-    monkeypatch.setattr(Q, "SAMPLE_VALUES", 4000)
+    monkeypatch.setattr(Q, "PARTS", 16 if limit < 1000 else 4096)
     rnd = random.Random(9)
     rows = [
         (
@@ -109,3 +109,42 @@ def test_exact_quantiles(spark, monkeypatch, limit):
         else:
             assert np.allclose(got[c], np.percentile(vals, [100 * p for p in probs]), atol=1e-12)
     assert info["top"] == max(r[0] for r in rows)
+
+
+def test_quantiles_of_values_of_all_sizes(spark, monkeypatch):
+    """Doubles of every exponent and sign, with repeats, nulls, NaN and the least and greatest ones; selection down to single values."""
+    import numpy as np
+
+    monkeypatch.setattr(Q, "INSIDE_LIMIT", 1)
+    rnd = random.Random(4)
+    values = [rnd.choice([-1, 1]) * rnd.random() * 10.0 ** rnd.randint(-320, 307) for _ in range(2000)]
+    values += [0.0, -0.0, 5e-324, -5e-324, 1.7976931348623157e308, -1.7976931348623157e308, 1.0, 1.0 + 2**-52] * 5
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)] * 50, "v double")
+    probs = [i / (len(values) - 1) for i in (0, 1, 5, 700, 1000, 1019, 1020, 1500, len(values) - 2, len(values) - 1)]
+    got, info = Q.quantiles(df, {"v": "v"}, probs)
+    assert info["n"]["v"] == len(values)
+    exact = sorted(values)
+    near = [exact[round(p * (len(values) - 1))] for p in probs]
+    assert all(a == b or abs(a - b) <= 1e-9 * abs(b) for a, b in zip(got["v"], near))
+
+
+def test_quantiles_of_many_columns_send_short_rows(spark, monkeypatch):
+    """What reaches the driver is a row of six numbers for each wanted rank, whatever the columns; the jobs don't grow with them."""
+    monkeypatch.setattr(Q, "INSIDE_LIMIT", 20)
+    rows, seen = [], Q._pass
+
+    def watched(*args):
+        out = seen(*args)
+        rows.append((len(out.columns), out.count(), len(args[2])))
+        return out
+
+    monkeypatch.setattr(Q, "_pass", watched)
+    passes = {}
+    for width in (2, 30):
+        df = spark.range(3000).selectExpr(*[f"sin(id * {i + 1}) * {i + 1} AS c{i}" for i in range(width)])
+        got, _ = Q.quantiles(df, {c: c for c in df.columns}, [0.5])
+        assert len(got) == width and all(abs(v[0]) < 2 for v in got.values())
+        assert all(columns == 6 and n <= 2 * width for columns, n, _ in rows)
+        passes[width] = len(rows)
+        rows.clear()
+    assert passes[30] <= passes[2] + 1

@@ -1,50 +1,53 @@
 """Exact quantiles of many columns without sorting or gathering a column.
 
-The wanted order statistics are narrowed to value brackets: a bounded random sample proposes
-a bracket, one counting pass proves how many values lie below and inside it, and once few
-values are left inside, only those are read.  Every pass handles all columns together, so the
-number of jobs does not grow with the number of columns, and no task ever holds a column.
+The wanted order statistics are found by selection inside the cluster, the columns in long form.  Each pass counts the values of every open
+bracket by a key that never falls as the value rises: first by sign and logarithm, then by even parts of the bracket, at last by
+the values themselves.  Only counts travel, with each key's least and greatest value; running totals tell which key holds a wanted rank, and
+that key's values are the next bracket.  A key of one value is the answer.  All columns share each pass, so the
+number of jobs does not grow with them, no task holds a column, and one short row for each wanted rank reaches the driver.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
-from dataclasses import dataclass, field
-from itertools import count
+from dataclasses import dataclass
 
-import numpy as np
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .schema import sql_double
 
-SAMPLE_VALUES = 200_000  # most values sampled per bracket and pass
-SAMPLE_SHARE = 50  # smaller brackets are sampled at one in so many, down to a twentieth of that
-INSIDE_LIMIT = 100_000  # values that may be read from one bracket; above it a sample always narrows
+#: Parts of an octave in the first pass, and of a bracket in those that follow.
+OCTAVE_PARTS = 256
+PARTS = 4096
+#: Values up to which a bracket is counted by its values.
+INSIDE_LIMIT = 100_000
 
 
-@dataclass
-class _Target:
+@dataclass(frozen=True)
+class _Bracket:
+    """Values from ``lo`` to ``hi`` of a column, all of them without these; ``below`` are less."""
+
     name: str
-    ranks: tuple[int, int]  # zero-based neighbours of the quantile position
+    below: int
     inside: int
-    lo: float | None = None  # open bracket: only values strictly between lo and hi remain
+    lo: float | None = None
     hi: float | None = None
-    below: int = 0  # values <= lo
-    found: dict[int, float] = field(default_factory=dict)
 
-    @property
-    def open_ranks(self) -> list[int]:
-        return [r for r in sorted(set(self.ranks)) if r not in self.found]
+    def key(self, x: str) -> str:
+        """A double that never falls as x rises."""
+        if self.inside <= INSIDE_LIMIT:
+            return x
+        if self.lo is None:
+            # logarithms of doubles lie between -1075 and 1024, so that the place is always positive
+            place = f"floor(least(log2(abs({x})), 5000D) * {OCTAVE_PARTS}D) + 300000"
+            return f"CASE WHEN {x} = 0 THEN 0D ELSE CAST(signum({x}) * ({place}) AS DOUBLE) END"
+        lo, hi = sql_double(self.lo), sql_double(self.hi)
+        return f"CAST(floor(({x} - {lo}) / ({hi} - {lo}) * {PARTS}D) AS DOUBLE)"
 
-    def within(self, x: str) -> str:
-        cond = f"{x} IS NOT NULL"
-        if self.lo is not None:
-            cond += f" AND {x} > {sql_double(self.lo)}"
-        if self.hi is not None:
-            cond += f" AND {x} < {sql_double(self.hi)}"
-        return cond
+    def holds(self, x: str) -> str:
+        if self.lo is None:
+            return f"{x} IS NOT NULL"
+        return f"{x} BETWEEN {sql_double(self.lo)} AND {sql_double(self.hi)}"
 
 
 def _positions(n: int, p: float) -> tuple[float, int, int]:
@@ -58,30 +61,24 @@ def quantiles(
     probs: list[float] | dict[str, list[float]],
     extra: list[str] | None = None,
 ) -> tuple[dict[str, list[float | None]], dict]:
-    """Exact, linearly interpolated quantiles of each SQL expression over its non-null values.
+    """Exact, linearly interpolated quantiles of each SQL expression over its values that are neither null nor NaN.
 
-    Returns the quantiles per name, and a dictionary with the non-null count of each name
+    Returns the quantiles per name, and a dictionary with the number of values of each name
     under ``n`` and the values of the ``extra`` aggregates, which ride on the counting job.
     """
     names = list(exprs)
     per_name = probs if isinstance(probs, dict) else {k: list(probs) for k in names}
-    # adding zero makes -0.0 equal to 0.0 for the range search, too
-    base = df.selectExpr("*", *[f"CAST({exprs[k]} AS DOUBLE) + 0D AS __q{i}" for i, k in enumerate(names)])
+    # adding zero makes -0.0 equal to 0.0
+    cells = [f"nullif(CAST({exprs[k]} AS DOUBLE) + 0D, double('NaN')) AS __q{i}" for i, k in enumerate(names)]
+    base = df.selectExpr("*", *cells)
     x = {k: f"__q{i}" for i, k in enumerate(names)}
     counts = [f"count({x[k]}) AS __n{i}" for i, k in enumerate(names)]
     head = base.selectExpr("count(1) AS __rows", *counts, *(extra or [])).first().asDict()
     n = {k: head.pop(f"__n{i}") for i, k in enumerate(names)}
     info = {"rows": head.pop("__rows"), "n": n, **head}
 
-    narrow = base.select(*x.values())
-    targets: list[_Target] = []
-    for k in names:
-        if n[k]:
-            pairs = {_positions(n[k], p)[1:] for p in per_name[k]}
-            targets += [_Target(k, pair, n[k]) for pair in sorted(pairs)]
-    _select(narrow, x, targets)
-
-    order = {(t.name, r): v for t in targets for r, v in t.found.items()}
+    wanted = {k: {r for p in per_name[k] for r in _positions(n[k], p)[1:]} for k in names if n[k] and per_name[k]}
+    order = _select(base.select(*x.values()), x, {_Bracket(k, 0, n[k]): ranks for k, ranks in wanted.items()})
     result: dict[str, list[float | None]] = {}
     for k in names:
         values: list[float | None] = []
@@ -90,128 +87,43 @@ def quantiles(
                 values.append(None)
                 continue
             pos, i, j = _positions(n[k], p)
-            a, b = order[(k, i)], order[(k, j)]
+            a, b = order[k, i], order[k, j]
             values.append(a if i == j or a == b else (j - pos) * a + (pos - i) * b)
         result[k] = values
     return result, info
 
 
-def _sample_size(inside: int) -> float:
-    return min(SAMPLE_VALUES, max(SAMPLE_VALUES / 20, inside / SAMPLE_SHARE))
-
-
-def _read(df: DataFrame, x: dict[str, str], groups: list[_Target], seed: int | None = None) -> list[np.ndarray]:
-    """Sorted values of each bracket, or with a seed a random part of them, read in one pass."""
+def _select(df: DataFrame, x: dict[str, str], brackets: dict[_Bracket, set[int]]) -> dict[tuple[str, int], float]:
+    """The values at the wanted ranks of each bracket's column."""
+    found: dict[tuple[str, int], float] = {}
+    while brackets:
+        numbered = list(brackets)
+        following: dict[_Bracket, set[int]] = {}
+        for row in _pass(df, x, numbered, [brackets[b] for b in numbered]).collect():
+            b = numbered[row["b"]]
+            if row["lo"] == row["hi"]:
+                found[b.name, row["rank"]] = row["lo"]
+            else:
+                part = _Bracket(b.name, b.below + row["below"], row["n"], row["lo"], row["hi"])
+                following.setdefault(part, set()).add(row["rank"])
+        brackets = following
+    return found
+
+
+def _pass(df: DataFrame, x: dict[str, str], brackets: list[_Bracket], ranks: list[set[int]]) -> DataFrame:
+    """Rows (b, rank, below, n, lo, hi): for each wanted rank of each bracket the key that holds it."""
     cells = []
-    for i, t in enumerate(groups):
-        cond = t.within(x[t.name])
-        share = _sample_size(t.inside) / t.inside
-        if seed is not None and share < 1:
-            cond += f" AND rand({seed + i}) < {sql_double(share)}"
-        cells.append(f"CASE WHEN {cond} THEN {x[t.name]} END AS v{i}")
-    found = " OR ".join(f"v{i} IS NOT NULL" for i in range(len(groups)))
-    got = df.selectExpr(*cells).filter(found).toArrow()
-    return [np.sort(got[f"v{i}"].drop_null().to_numpy()) for i in range(len(groups))]
-
-
-def _brackets(targets: list[_Target]) -> list[tuple[_Target, list[_Target]]]:
-    """Targets that share a bracket share its reading."""
-    shared: dict[tuple, list[_Target]] = {}
-    for t in targets:
-        shared.setdefault((t.name, t.lo, t.hi), []).append(t)
-    return [(ts[0], ts) for ts in shared.values()]
-
-
-def _select(df: DataFrame, x: dict[str, str], targets: list[_Target]) -> None:
-    for turn in count():  # an unlucky sample only costs another turn with other draws
-        pending = [t for t in targets if t.open_ranks]
-        if not pending:
-            return
-        wide = [t for t in pending if t.inside > INSIDE_LIMIT]
-        if wide:
-            _narrow(df, x, wide, 1000 * turn)
-            continue
-        shared = _brackets(pending)
-        values = _read(df, x, [head for head, _ in shared])
-        for i, (_, members) in enumerate(shared):
-            for t in members:
-                for r in t.open_ranks:
-                    t.found[r] = float(values[i][r - t.below])
-
-
-def _counts_below(df: DataFrame, x: dict[str, str], bounds: dict[str, set[float]]) -> dict[tuple, tuple[int, int]]:
-    """Exact number of values below, and at or below, each bound: one pass sorts all columns into ranges."""
-    names = [n for n in bounds if bounds[n]]
-    if not names:
-        return {}
-    # each bound opens a range that holds only itself; the ranges end at infinity, so infinite values are counted by comparison
-    both = {n: {e for b in bounds[n] for e in (b, math.nextafter(b, math.inf))} for n in names}
-    edges = {n: sorted(e for e in both[n] if math.isfinite(e)) or [0.0] for n in names}
-    infinite = [n for n in names if any(math.isinf(e) for e in both[n])]
-    top = dict.fromkeys(names, 0)
-    if infinite:
-        tops = df.selectExpr(*[f"count_if({x[n]} = double('Infinity'))" for n in infinite]).first()
-        top |= dict(zip(infinite, tops))
-    cut = Bucketizer(
-        splitsArray=[[-math.inf, *edges[n], math.inf] for n in names],
-        inputCols=[x[n] for n in names], outputCols=[f"__r{i}" for i in range(len(names))], handleInvalid="keep",
-    )
-    ranges = ", ".join(f"struct({i} AS i, CAST(__r{i} AS INT) AS r)" for i in range(len(names)))
-    found = cut.transform(df).selectExpr(f"inline(array({ranges}))").filter("r IS NOT NULL").groupBy("i", "r").count()
-    per_range: dict[str, list[int]] = {n: [0] * (len(edges[n]) + 2) for n in names}
-    for row in found.collect():
-        per_range[names[row["i"]]][row["r"]] += row["count"]
-    out = {}
-    for n in names:
-        total = np.cumsum(per_range[n])
-        every = int(total[len(edges[n])])
-
-        def under(e: float) -> int:
-            if math.isinf(e):
-                return every - top[n] if e > 0 else 0
-            return int(total[bisect_left(edges[n], e)])
-
-        for b in bounds[n]:
-            out[(n, b)] = (under(b), every if b == math.inf else under(math.nextafter(b, math.inf)))
-    return out
-
-
-def _narrow(df: DataFrame, x: dict[str, str], wide: list[_Target], seed: int) -> None:
-    shared = _brackets(wide)
-    samples = _read(df, x, [head for head, _ in shared], seed)
-    proposals: list[tuple[_Target, float | None, float | None]] = []
-    for i, (_, members) in enumerate(shared):
-        s = samples[i]
-        for t in members:
-            m = len(s)
-            if m == 0:
-                continue
-            first, last = t.open_ranks[0] - t.below, t.open_ranks[-1] - t.below
-            a, b = first / t.inside, last / t.inside
-            left = math.floor(m * a - 5.0 * math.sqrt(m * a * (1 - a)) - 3)
-            right = math.ceil(m * b + 5.0 * math.sqrt(m * b * (1 - b)) + 3)
-            lo = float(s[left]) if left >= 0 else t.lo
-            hi = float(s[right]) if right < m else t.hi
-            proposals.append((t, lo, hi))
-    if not proposals:
-        return
-    bounds: dict[str, set[float]] = {}
-    for t, lo, hi in proposals:
-        bounds.setdefault(t.name, set()).update(b for b in (lo, hi) if b is not None)
-    below = _counts_below(df, x, bounds)
-    for t, lo, hi in proposals:
-        lt_lo, le_lo = below[(t.name, lo)] if lo is not None else (0, 0)
-        lt_hi, le_hi = below[(t.name, hi)] if hi is not None else (t.below + t.inside, 0)
-        for r in t.open_ranks:
-            if lo is not None and lt_lo <= r < le_lo:
-                t.found[r] = lo
-            elif hi is not None and lt_hi <= r < le_hi:
-                t.found[r] = hi
-        ranks = t.open_ranks
-        if not ranks:
-            continue
-        # a bound that the counts prove right moves; an unlucky one stays where it was
-        new_lo, new_below = (lo, le_lo) if lo is not None and le_lo <= ranks[0] else (t.lo, t.below)
-        end = t.below + t.inside
-        new_hi, new_end = (hi, lt_hi) if hi is not None and ranks[-1] < lt_hi else (t.hi, end)
-        t.lo, t.hi, t.below, t.inside = new_lo, new_hi, new_below, new_end - new_below
+    for name in dict.fromkeys(b.name for b in brackets):
+        c = x[name]
+        # the brackets of a column are disjoint
+        cases = " ".join(f"WHEN {b.holds(c)} THEN struct({i} AS b, {b.key(c)} AS k, {c} AS v)" for i, b in enumerate(brackets) if b.name == name)
+        cells.append(f"CASE {cases} END")
+    rows = df.selectExpr(f"inline(filter(array({', '.join(cells)}), c -> c IS NOT NULL))")
+    keys = rows.groupBy("b", "k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # a bracket has no more keys than the parts or values that it is cut into
+    before = Window.partitionBy("b").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keys = keys.withColumn("below", F.sum("n").over(before) - F.col("n"))
+    wanted = [(i, r, r - b.below) for i, b in enumerate(brackets) for r in sorted(ranks[i])]
+    places = df.sparkSession.createDataFrame(wanted, "b int, rank long, place long")
+    here = (F.col("place") >= F.col("below")) & (F.col("place") < F.col("below") + F.col("n"))
+    return keys.join(F.broadcast(places), "b").filter(here).select("b", "rank", "below", "n", "lo", "hi")

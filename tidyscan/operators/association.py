@@ -6,14 +6,15 @@ Every measure uses the rows where both columns are present.  Matrices come in lo
 
 from __future__ import annotations
 
+import math
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import schema as S
+from ..functions.pairwise import gram, pair_counts
 from ..functions.quantiles import quantiles
 from ..functions.stats import both, pearson_expr
-from ..functions.wide import to_rows
 from ..plans import ordered
 from ..plans.settle import settle
 from .profile import sample_rows
@@ -180,10 +181,10 @@ def _contingency(df: DataFrame, levels: list[Column], pairs: list[tuple[int, int
     return table.join(rows, ["pair", "a"]).join(cols, ["pair", "b"])
 
 
-def _totals(cells: DataFrame) -> DataFrame:
+def _totals(cells: DataFrame, keys: list[str] = ["pair"]) -> DataFrame:
     """Sums over the observed cells that the measures are made of, one row per pair."""
     # a level's cells share one total: o / total adds up to 1 per level
-    return cells.groupBy("pair").agg(
+    return cells.groupBy(*keys).agg(
         F.sum("o").alias("n"),
         F.sum(F.col("o") * F.col("o") / (F.col("r").cast("double") * F.col("c"))).alias("s"),
         F.round(F.sum(F.col("o") / F.col("r").cast("double"))).cast("bigint").alias("levels_a"),
@@ -304,38 +305,25 @@ def associate(df: DataFrame, x: str, y: str, method: str = "Auto") -> DataFrame:
 # ---- matrices ----------------------------------------------------------------------------
 
 
-def _pearson_pairs(df: DataFrame, x: dict[str, str], pairs: list[tuple[str, str]], min_rows: int) -> DataFrame:
-    """All pairs in one aggregation of plain sums, shifted by the column means to stay exact.
+def _pearson_pairs(df: DataFrame, x: dict[str, str], min_rows: int) -> DataFrame:
+    """All pairs of the named expressions from one Gram table, of values shifted by the column means to stay exact."""
+    cols = list(x)
+    means = df.selectExpr(*[f"avg({x[c]}) AS m{i}" for i, c in enumerate(cols)]).first()
+    shift = [m if m is not None and math.isfinite(m) else 0.0 for m in means]
+    sums = gram(df.selectExpr(*[f"{x[c]} - {S.sql_double(m)} AS d{i}" for i, (c, m) in enumerate(zip(cols, shift))]))
+    va, vb = F.expr("qi - si * si / n"), F.expr("qj - sj * sj / n")
+    # a constant column is left with rounding noise only
+    ok = (F.col("n") >= max(1, min_rows)) & (va > F.col("qi") * 1e-13) & (vb > F.col("qj") * 1e-13)
+    r = F.when(ok, F.expr("p - si * sj / n") / (F.sqrt(va) * F.sqrt(vb)))
+    return _named_pairs(df, cols, sums.select("i", "j", r.alias("value"), "n"))
 
-    Pairs of complete columns share their counts and squares; only pairs with gaps sum their own.
-    """
-    cols = list(dict.fromkeys(c for p in pairs for c in p))
-    at = {c: i for i, c in enumerate(cols)}
-    heads = [f"{fn}({x[c]}) AS {t}{i}" for i, c in enumerate(cols) for t, fn in (("n", "count"), ("m", "avg"))]
-    head = df.selectExpr("count(1) AS rows", *heads).first()
-    full = {c for c in cols if head[f"n{at[c]}"] == head["rows"]}
-    base = df.selectExpr(*[f"{x[c]} - {S.sql_double(head[f'm{i}'] or 0.0)} AS d{i}" for i, c in enumerate(cols)])
-    aggs = [t for i, c in enumerate(cols) if c in full for t in (f"sum(d{i}) AS s{i}", f"sum(d{i} * d{i}) AS q{i}")]
-    rows = []
-    for i, (ca, cb) in enumerate(pairs):
-        a, b = f"d{at[ca]}", f"d{at[cb]}"
-        aggs.append(f"sum({a} * {b}) AS p{i}")
-        if ca in full and cb in full:
-            sa, sb, qa, qb = (f"{t}{at[c]}" for t in "sq" for c in (ca, cb))
-            count = f"{head['rows']}L"
-        else:
-            sa, sb, qa, qb = (f"{t}{i}" for t in ("sa", "sb", "qa", "qb"))
-            ok = f"{a} IS NOT NULL AND {b} IS NOT NULL"
-            for name, e in ((sa, a), (sb, b), (qa, f"{a} * {a}"), (qb, f"{b} * {b}")):
-                aggs.append(f"sum(CASE WHEN {ok} THEN {e} END) AS {name}")
-            aggs.append(f"count_if({ok}) AS k{i}")
-            count = f"k{i}"
-        va, vb = f"({qa} - {sa} * {sa} / {count})", f"({qb} - {sb} * {sb} / {count})"
-        # a constant column is left with rounding noise only
-        ok = f"{count} >= {max(1, min_rows)} AND {va} > {qa} * 1e-13D AND {vb} > {qb} * 1e-13D"
-        r = f"CASE WHEN {ok} THEN (p{i} - {sa} * {sb} / {count}) / (sqrt({va}) * sqrt({vb})) END"
-        rows.append({"col_a": S.sql_text(ca), "col_b": S.sql_text(cb), "value": r, "n": count})
-    return to_rows(base.selectExpr(*aggs), rows)
+
+def _named_pairs(df: DataFrame, cols: list[str], found: DataFrame) -> DataFrame:
+    """(col_a, col_b, value, n) for every pair of columns, of rows (i, j, value, n) of those that have any."""
+    pairs = [(i, j, cols[i], cols[j]) for i, j in combinations_with_replacement(range(len(cols)), 2)]
+    names = df.sparkSession.createDataFrame(pairs, "i int, j int, col_a string, col_b string")
+    out = names.join(F.broadcast(found), ["i", "j"], "left")  # a row for each pair of columns, whatever the rows
+    return out.select("col_a", "col_b", "value", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def _rank_columns(df: DataFrame, cols: list[str], rows_per_block: int | None) -> DataFrame:
@@ -361,7 +349,7 @@ def corr_matrix(
     pairs = list(combinations_with_replacement(cols, 2))
     x = {c: S.double_sql(df, c) for c in cols}
     if method == "pearson":
-        return _pearson_pairs(df, x, pairs, 2)
+        return _pearson_pairs(df, x, 2)
     if method == "spearman":
         counts = df.selectExpr("count(1) AS rows", *[f"count({x[c]}) AS n{i}" for i, c in enumerate(cols)]).first()
         full = [c for i, c in enumerate(cols) if counts[f"n{i}"] == counts["rows"]]
@@ -370,7 +358,7 @@ def corr_matrix(
         if full:
             ranks = _rank_columns(df, full, rows_per_block)
             made = {c: f"r{i}" for i, c in enumerate(full)}
-            parts.append(_pearson_pairs(ranks, made, list(combinations_with_replacement(full, 2)), 2))
+            parts.append(_pearson_pairs(ranks, made, 2))
         rest = [p for p in pairs if not (p[0] in full and p[1] in full)]
         one = lambda a, b: spearman(df, a, b, rows_per_block)
     elif method == "kendall":
@@ -405,13 +393,12 @@ def cramers_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(col_a, col_b, value, n) over the non-numeric columns, the diagonal by the same formula."""
     cols = list(cols or [f.name for f in df.schema if not S.is_numeric(f.dataType)])
     S.require(df, cols)
-    pairs = list(combinations_with_replacement(cols, 2))
-    numbers = list(combinations_with_replacement(range(len(cols)), 2))
-    sums = _totals(_contingency(df, [_level(df, c) for c in cols], numbers))
-    names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, col_a string, col_b string")
-    return names.join(sums, "pair", "left").select(
-        "col_a", "col_b", _cramer(matrix=True).alias("value"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
-    )
+    table = settle(pair_counts(df.select(*[_level(df, c).alias(f"c{i}") for i, c in enumerate(cols)])))
+    # a level's totals in a pair count the rows that have both columns
+    rows = table.groupBy("i", "j", "a").agg(F.sum("o").alias("r"))
+    columns = table.groupBy("i", "j", "b").agg(F.sum("o").alias("c"))
+    sums = _totals(table.join(rows, ["i", "j", "a"]).join(columns, ["i", "j", "b"]), ["i", "j"])
+    return _named_pairs(df, cols, sums.select("i", "j", _cramer(matrix=True).alias("value"), "n"))
 
 
 def _mixed_pairs(df: DataFrame, cats: list[str], nums: list[str]) -> DataFrame:
@@ -465,7 +452,7 @@ def association_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFram
     parts = []
     if nums:
         x = {c: S.double_sql(df, c) for c in nums}
-        parts.append(_pearson_pairs(df, x, list(combinations_with_replacement(nums, 2)), 3))
+        parts.append(_pearson_pairs(df, x, 3))
     if cats:
         parts.append(cramers_matrix(df, cats))
     if nums and cats:
