@@ -42,6 +42,12 @@ def hist(col, name, rule, log=False):
     return run
 
 
+def far_hist(s, d):
+    """One value far off: hundreds of millions of bins, nearly all of them empty."""
+    df = load(s, d, "events").selectExpr("CASE WHEN event_id = 7 THEN 1e9 ELSE value END AS value")
+    return rounded(U.sparse_histogram(df, "value", "fd"), 6, "low", "high")
+
+
 QUERIES = {
     "o01_iqr_bounds": lambda s, d: rounded(O.outlier_bounds(load(s, d, "lineitem"), NUMBERS), 6, "lower", "upper"),
     "o01_iqr_table": table("iqr"),
@@ -71,6 +77,7 @@ QUERIES = {
     "u04_histogram_doane": hist("value", "events", "doane"),
     "u04_histogram_auto": hist("l_quantity", "lineitem", "auto"),
     "u04_histogram_whole": hist("l_linenumber", "lineitem", "auto"),
+    "u04_histogram_sparse": far_hist,
     "u06_iqr_outlier_share": lambda s, d: rounded(
         U.iqr_outlier_share(load(s, d, "documents").join(load(s, d, "labels"), "doc_id"), ["n_chars", "toxic"]), 9, "share"
     ),
@@ -242,6 +249,16 @@ ORACLES = {
     "u04_histogram_doane": _hist_sql("events", "value", _DOANE),
     "u04_histogram_auto": _hist_sql("lineitem", "l_quantity", _AUTO),
     "u04_histogram_whole": _hist_sql("lineitem", "l_linenumber", _AUTO, whole=True),
+    "u04_histogram_sparse": """WITH e AS (SELECT CASE WHEN event_id = 7 THEN 1e9 ELSE value END::DOUBLE AS x FROM events),
+  f AS (SELECT min(x) AS lo, max(x) AS hi, count(x) AS n, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM e),
+  c AS (SELECT lo, hi, greatest(1, ceil((hi - lo) / (2 * iqr / cbrt(n))))::BIGINT AS bins FROM f),
+  b AS (SELECT least(floor((x - lo) / (hi - lo) * bins), bins - 1)::BIGINT AS bin_no, count(*) AS n, any_value(lo) AS lo, any_value(hi) AS hi,
+          any_value(bins) AS total FROM e, c GROUP BY 1),
+  g AS (SELECT *, lead(bin_no) OVER (ORDER BY bin_no) AS next FROM b),
+  r AS (SELECT bin_no, 1::BIGINT AS bins, n AS count, lo, hi, total FROM g
+        UNION ALL SELECT bin_no + 1, next - bin_no - 1, 0, lo, hi, total FROM g WHERE next > bin_no + 1)
+SELECT bin_no, bins, round(lo + bin_no * ((hi - lo) / total), 6) AS low,
+  round(CASE WHEN bin_no + bins = total THEN hi ELSE lo + (bin_no + bins) * ((hi - lo) / total) END, 6) AS high, count FROM r""",
     "u06_iqr_outlier_share": "WITH g AS (SELECT * FROM documents JOIN labels USING (doc_id)) "
     + union(
         [

@@ -35,6 +35,9 @@ KEYS_LEFT = ["o_orderkey", "CASE WHEN o_custkey % 50 = 0 THEN NULL ELSE o_custke
 KEYS_RIGHT = ["c_name", "CASE WHEN c_custkey % 500 = 0 THEN NULL ELSE c_custkey + 100 END AS key", "c_mktsegment AS status"]
 
 
+HOT_KEY = "CASE WHEN l_orderkey % 3 = 0 THEN 1 WHEN l_orderkey % 97 = 1 THEN NULL ELSE l_suppkey + 50 END"
+
+
 def events(s, d):
     return gaps(s, d, "events", EVENT_SERIES)
 
@@ -63,6 +66,17 @@ def joined(how):
     return lambda s, d: J.merge(*sides(s, d), how, ["key"], ["key"])
 
 
+def hot_joined(how):
+    """A third of the right side has the key of one left row, and some keys of either side are missing."""
+
+    def run(s, d):
+        left = load(s, d, "supplier").selectExpr("s_suppkey", "CASE WHEN s_suppkey % 10 = 0 THEN NULL ELSE s_suppkey END AS key")
+        right = load(s, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"{HOT_KEY} AS key")
+        return J.merge(left, right, how, ["key"], ["key"], small_bytes=0)
+
+    return run
+
+
 def joined_named(s, d):
     left, right = sides(s, d)
     return J.merge(left, right.withColumnRenamed("key", "cust"), "outer", ["key"], ["cust"], ("_l", "_r"))
@@ -210,6 +224,8 @@ QUERIES = {
     "j02_left": joined("left"),
     "j03_right": joined("right"),
     "j04_outer": joined("outer"),
+    "j02_left_hot": hot_joined("left"),
+    "j04_outer_hot": hot_joined("outer"),
     "j05_outer_named_keys": joined_named,
     "j05_outer_two_keys": two_keys,
     "x01_strip_html": column("pages", "page_id", "html", X.strip_html),
@@ -323,6 +339,14 @@ _LEFT = "SELECT " + ", ".join(KEYS_LEFT) + " FROM orders"
 _RIGHT = "SELECT " + ", ".join(KEYS_RIGHT) + " FROM customer"
 
 
+def _hot_join(how: str) -> str:
+    return (
+        "WITH l AS (SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 0 THEN NULL ELSE s_suppkey END AS key FROM supplier), "
+        f"r AS (SELECT l_orderkey, l_linenumber, {HOT_KEY} AS key FROM lineitem) SELECT s_suppkey, coalesce(l.key, r.key) AS key, "
+        f"l_orderkey, l_linenumber FROM l {how} JOIN r ON l.key IS NOT DISTINCT FROM r.key"
+    )
+
+
 def _join(how: str) -> str:
     return (
         f"WITH l AS ({_LEFT}), r AS ({_RIGHT}) SELECT o_orderkey, coalesce(l.key, r.key) AS key, l.status AS status_x, "
@@ -451,6 +475,8 @@ ORACLES = {
     "j02_left": _join("LEFT"),
     "j03_right": _join("RIGHT"),
     "j04_outer": _join("FULL"),
+    "j02_left_hot": _hot_join("LEFT"),
+    "j04_outer_hot": _hot_join("FULL"),
     "j05_outer_named_keys": f"WITH l AS ({_LEFT}), r AS ({_RIGHT}) SELECT o_orderkey, l.key, l.status AS status_l, c_name, "
     "r.key AS cust, r.status AS status_r FROM l FULL JOIN r ON l.key IS NOT DISTINCT FROM r.key",
     "j05_outer_two_keys": "SELECT s_suppkey, coalesce(s_nationkey, n_nationkey) AS s_nationkey, s_name, n_name, n_regionkey "

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..functions import dates, frequency, schema as S
 from ..functions.quantiles import quantiles
 from ..functions.wide import per_column, percent
+from ..plans.settle import settle
 
 # Limits of the logical types and of the advice rules.
 DATETIME_SHARE = 0.8
@@ -22,6 +23,9 @@ ADVICE_OUTLIER_ROWS = 30
 ADVICE_OUTLIER_SHARE = 0.03
 ADVICE_DATE_SHARE = 0.9
 
+#: Repeated digests, two longs each, up to which they are sent to all tasks.
+BROADCAST_DIGESTS = 500_000
+
 # Column names that mark a domain (all of the first, any of the others).
 RETAIL_COLUMNS = {"order_id", "customer_id", "sku"}
 TELEMETRY_COLUMNS = {"device_id", "battery_health"}
@@ -31,26 +35,47 @@ CLOUD_COST_COLUMNS = {"cost", "azure", "gcp", "snowflake"}
 # ---- whole table -------------------------------------------------------------------------
 
 
-def _row_groups(df: DataFrame) -> DataFrame:
-    """Distinct rows with their multiplicity, nested cells by value."""
-    nulls = " + ".join(f"int({S.sql_name(c)} IS NULL)" for c in df.columns)
-    keyed = S.nan_to_null(df).select(
-        *[S.groupable(S.q(f.name), f.dataType).alias(f"c{i}") for i, f in enumerate(df.schema)],
-        F.expr(f"{nulls} AS __nulls"),
-    )
-    # the number of missing cells is a function of the row, so it joins the key for free
-    return keyed.groupBy(*keyed.columns).agg(F.expr("count(1) AS __n"))
-
-
-def overview_stats(df: DataFrame) -> DataFrame:
-    """rows, cols, missing_pct of all cells and n_duplicates, from one pass and one shuffle."""
-    cols = len(df.columns)
-    return _row_groups(df).selectExpr(
-        "coalesce(sum(__n), 0L) AS rows",
-        f"{cols} AS cols",
-        f"coalesce(sum(__n * __nulls) * 100D / nullif(sum(__n) * {cols}, 0), 0D) AS missing_pct",
-        "coalesce(sum(__n - 1), 0L) AS n_duplicates",
-    )
+@dataclass(frozen=True)
+class RowFacts:
+    """Rows, missing cells, and rows beyond the first of each group of identical rows."""
+
+    rows: int
+    missing: int
+    duplicates: int
+
+
+def row_facts(df: DataFrame) -> RowFacts:
+    """Counts over whole rows: 128-bit digests first, and the rows themselves only where a digest comes again.
+
+    Two longs and two counts a row are shuffled, however wide the table is."""
+    nulls = " + ".join(f"int({S.sql_name(c)} IS NULL)" for c in df.columns) or "0"
+    cells = [S.groupable(S.q(f.name), f.dataType).alias(f"c{i}") for i, f in enumerate(df.schema)]
+    keyed = S.nan_to_null(df).select(*cells, F.expr(nulls).alias("__nulls"))
+    names = [f"c{i}" for i in range(len(cells))]
+    # hashes pass over nulls, so where they are is hashed, too
+    parts = [*[F.col(c).isNull() for c in names], *names]
+    keyed = keyed.withColumns({"__d1": F.xxhash64(F.lit(1), *parts), "__d2": F.xxhash64(F.lit(2), *parts)})
+    digests = keyed.groupBy("__d1", "__d2").agg(F.count(F.lit(1)).alias("n"), F.sum("__nulls").alias("nulls"))
+    again = settle(digests.groupBy((F.col("n") > 1).alias("again"), F.when(F.col("n") > 1, F.col("__d1")).alias("__d1"),
+                                   F.when(F.col("n") > 1, F.col("__d2")).alias("__d2")).agg(F.sum("n").alias("n"), F.sum("nulls").alias("nulls"),
+                                                                                          F.count(F.lit(1)).alias("digests")))
+    head = again.agg(F.sum("n"), F.sum("nulls"), F.count_if("again")).first()
+    if not head[0]:
+        return RowFacts(0, 0, 0)
+    if not head[2]:
+        return RowFacts(head[0], head[1], 0)
+    seen = again.filter("again").select("__d1", "__d2")
+    met = keyed.join(F.broadcast(seen) if head[2] <= BROADCAST_DIGESTS else seen, ["__d1", "__d2"], "left_semi")
+    copies = met.groupBy("__d1", "__d2", *names).agg((F.count(F.lit(1)) - 1).alias("more")).agg(F.sum("more")).first()[0]
+    return RowFacts(head[0], head[1], copies or 0)
+
+
+def overview_stats(df: DataFrame, facts: RowFacts | None = None) -> DataFrame:
+    """rows, cols, missing_pct of all cells and n_duplicates."""
+    facts = facts or row_facts(df)
+    cells = facts.rows * len(df.columns)
+    row = (facts.rows, len(df.columns), facts.missing * 100.0 / cells if cells else 0.0, facts.duplicates)
+    return df.sparkSession.createDataFrame([row], "rows long, cols int, missing_pct double, n_duplicates long")
 
 
 def size_estimate_mb(df: DataFrame) -> float:
@@ -240,7 +265,7 @@ def dataset_meta(df: DataFrame, profile: list[ColumnProfile] | None = None) -> D
     )
 
 
-def suggest_actions(df: DataFrame, profile: list[ColumnProfile] | None = None) -> DataFrame:
+def suggest_actions(df: DataFrame, profile: list[ColumnProfile] | None = None, facts: RowFacts | None = None) -> DataFrame:
     """(rule, column, value): what deserves attention before analysis."""
     profile = profile or profile_columns(df)
     rows: list[tuple[str, str | None, float]] = []
@@ -256,7 +281,7 @@ def suggest_actions(df: DataFrame, profile: list[ColumnProfile] | None = None) -
             rows.append(("near_binary", p.column, float(p.unique)))
         if p.type == "categorical" and p.date_share > ADVICE_DATE_SHARE:
             rows.append(("date_as_text", p.column, p.date_share))
-    copies = duplicate_count(df).first()[0]
+    copies = (facts or row_facts(df)).duplicates
     if copies:
         rows.append(("duplicate_rows", None, float(copies)))
     from .outliers import iqr_outlier_shares

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import schema as S, text as X
+from ..plans.settle import settle
 
 
 def clean_text(
@@ -61,16 +62,11 @@ def clean_text(
 def token_counts(df: DataFrame, col: str, top: int | None = 100) -> DataFrame:
     """(token, count, total): most frequent tokens next to the number of all tokens."""
     words = df.select(F.explode(F.split(S.q(col), X.BLANK_PATTERN)).alias("token")).filter("token <> ''")
-    if top is None:
-        total = words.count()
-        counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
-        return counts.orderBy(F.col("count").desc(), "token").withColumn("total", F.lit(total).cast("bigint"))
-    # one pass over the texts: the grand total is the rolled-up row of the same count
-    counts = words.rollup("token").agg(F.count(F.lit(1)).alias("count"), F.grouping("token").alias("all"))
-    first = counts.orderBy(F.col("all").desc(), F.col("count").desc(), "token").limit(top + 1).collect()
-    total = sum(r["count"] for r in first if r["all"])
-    rows = [(r["token"], r["count"], total) for r in first if not r["all"]]
-    return df.sparkSession.createDataFrame(rows, "token string, count bigint, total bigint")
+    # the texts are read once; the total is that of the counts
+    counts = settle(words.groupBy("token").agg(F.count(F.lit(1)).alias("count")))
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).cast("bigint").alias("total")).first()["total"]
+    first = counts.orderBy(F.col("count").desc(), "token")
+    return (first if top is None else first.limit(top)).withColumn("total", F.lit(total).cast("bigint"))
 
 
 def text_stats(df: DataFrame, col: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -10,6 +11,8 @@ from ..functions import dates, frequency, schema as S
 from ..functions.quantiles import quantiles
 from ..functions.stats import skewness_sql
 from ..functions.wide import percent
+from ..plans import ordered
+from ..plans.settle import settle
 from .outliers import iqr_outlier_shares
 
 # Table sizes and the limits of the findings.
@@ -22,6 +25,9 @@ ZERO_PCT = 20.0
 MANY_LEVELS = 30
 MISSING_LEVEL = "__NA__"
 
+#: Most bins of a dense histogram.
+DENSE_BINS = 100_000
+
 
 def univariate_kind(dt: T.DataType) -> str:
     if S.is_numeric(dt):
@@ -113,8 +119,22 @@ def bin_count(rule: str, n: int, lo: float, hi: float, iqr: float, skew: float,
     return max(1, math.ceil(span / width)) if width else 1
 
 
-def histogram(df: DataFrame, col: str, bins: str = "auto", log: bool = False) -> DataFrame:
-    """(bin_no, bin, count): bin midpoint and rows in it; the last bin is closed on the right."""
+@dataclass(frozen=True)
+class _Bins:
+    """Even bins between two values, and the rows (b, n) of the occupied ones."""
+
+    lo: float
+    hi: float
+    count: int
+    occupied: DataFrame
+
+    def edge(self, i: Column) -> Column:
+        step = (self.hi - self.lo) / self.count
+        return F.when(i == self.count, F.lit(self.hi)).otherwise(i * F.lit(step) + F.lit(self.lo))
+
+
+def _binned(df: DataFrame, col: str, bins: str, log: bool) -> _Bins | None:
+    """The occupied bins by one of the rules; none without values."""
     v = S.double_sql(df, col)
     if log:
         v = f"CASE WHEN {v} > 0 THEN log10({v}) END"
@@ -122,41 +142,66 @@ def histogram(df: DataFrame, col: str, bins: str = "auto", log: bool = False) ->
     aggs = [
         f"min({v}) AS lo", f"max({v}) AS hi", f"CASE WHEN var_pop({v}) > 0 THEN skewness({v}) ELSE 0D END AS skew"
     ]
-    needs_iqr = bins in ("auto", "fd")
-    if needs_iqr:
+    if bins in ("auto", "fd"):
         found, info = quantiles(df, {"x": v}, [0.25, 0.75], aggs)
         n, iqr = info["n"]["x"], (found["x"][1] or 0.0) - (found["x"][0] or 0.0)
     else:
         info = df.selectExpr(f"count({v}) AS n", *aggs).first().asDict()
         n, iqr = info["n"], 0.0
-    empty = df.sparkSession.createDataFrame([], "bin_no bigint, bin double, count bigint")
     if not n:
-        return empty
+        return None
     lo, hi = info["lo"], info["hi"]
     whole = S.is_integer(S.dtype_of(df, col)) and not log
     count = bin_count(bins, n, lo, hi, iqr, info["skew"], whole)
     if lo == hi:
         lo, hi = lo - 0.5, hi + 0.5
-    step = (hi - lo) / count
-    edge = lambda i: F.when(i == count, F.lit(hi)).otherwise(i * F.lit(step) + F.lit(lo))
+    made = _Bins(lo, hi, count, df)
     guess = F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * count), F.lit(count - 1).cast("bigint"))
     # the division may land next to an edge: the edges themselves decide
     bin_no = (
-        F.when(x < edge(F.col("g")), F.col("g") - 1)
-        .when((F.col("g") < count - 1) & (x >= edge(F.col("g") + 1)), F.col("g") + 1)
+        F.when(x < made.edge(F.col("g")), F.col("g") - 1)
+        .when((F.col("g") < count - 1) & (x >= made.edge(F.col("g") + 1)), F.col("g") + 1)
         .otherwise(F.col("g"))
     )
-    counts = (
-        df.filter(x.isNotNull()).select("*", guess.alias("g")).select(bin_no.alias("b"))
-        .groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    )
-    frame = df.sparkSession.range(count).withColumnRenamed("id", "bin_no")
-    mid = (edge(F.col("bin_no")) + edge(F.col("bin_no") + 1)) / 2.0
-    return frame.join(counts, F.col("bin_no") == F.col("b"), "left").select(
+    counts = df.filter(x.isNotNull()).select("*", guess.alias("g")).select(bin_no.alias("b")).groupBy("b")
+    return _Bins(lo, hi, count, counts.agg(F.count(F.lit(1)).alias("n")))
+
+
+def histogram(df: DataFrame, col: str, bins: str = "auto", log: bool = False) -> DataFrame:
+    """(bin_no, bin, count): midpoint and rows of every bin, empty ones too; the last bin is closed on the right.
+
+    More than ``DENSE_BINS`` bins, as a far outlier makes them, are left to ``sparse_histogram``."""
+    made = _binned(df, col, bins, log)
+    if made is None:
+        return df.sparkSession.createDataFrame([], "bin_no bigint, bin double, count bigint")
+    if made.count > DENSE_BINS:
+        raise ValueError(f"{made.count} bins, most of them empty: use sparse_histogram")
+    frame = df.sparkSession.range(made.count).withColumnRenamed("id", "bin_no")
+    mid = (made.edge(F.col("bin_no")) + made.edge(F.col("bin_no") + 1)) / 2.0
+    return frame.join(made.occupied, F.col("bin_no") == F.col("b"), "left").select(
         "bin_no", mid.alias("bin"), F.coalesce("n", F.lit(0)).cast("bigint").alias("count")
     )
 
 
+def sparse_histogram(df: DataFrame, col: str, bins: str = "auto", log: bool = False) -> DataFrame:
+    """(bin_no, bins, low, high, count): a row for each occupied bin, and one with count 0 for each run of empty ones.
+
+    Its rows grow with the occupied bins, not with the span of the values."""
+    made = _binned(df, col, bins, log)
+    if made is None:
+        return df.sparkSession.createDataFrame([], "bin_no bigint, bins bigint, low double, high double, count bigint")
+    # the first and last bin are occupied, so every run of empty ones lies between two that follow each other
+    placed = ordered.position(ordered.blocks(settle(made.occupied.select(F.col("b").cast("bigint").alias("b"), "n")), ["b"]), "place")
+    placed = settle(ordered.finish(placed))
+    following = placed.select((F.col("place") - 1).alias("place"), F.col("b").alias("next"))
+    gaps = placed.join(following, "place").filter("next > b + 1")
+    gaps = gaps.select((F.col("b") + 1).alias("bin_no"), (F.col("next") - F.col("b") - 1).alias("bins"), F.lit(0).cast("bigint").alias("count"))
+    rows = placed.select(F.col("b").alias("bin_no"), F.lit(1).cast("bigint").alias("bins"), F.col("n").alias("count")).unionByName(gaps)
+    return rows.select(
+        "bin_no", "bins", made.edge(F.col("bin_no")).alias("low"), made.edge(F.col("bin_no") + F.col("bins")).alias("high"), "count"
+    )
+
+
 # ---- findings ----------------------------------------------------------------------------
 
 

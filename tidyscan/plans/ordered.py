@@ -3,8 +3,9 @@
 A window without a partition, or one over a group that holds a third of the table, would put its
 rows into one task.  Here such groups are cut into blocks by ranges of the order key:
 
-* block borders come from a bounded random sample of the key; they steer only the balance of
-  the blocks, never the result, because every row's block is a fixed function of its key;
+* block borders come from a random sample of the whole order key; they steer only the balance of
+  the blocks, never the result, because every row's block is a fixed function of its key.  The driver sees a bounded sample
+  for at most ``MAX_RANGES`` ranges; more blocks are cut out of these inside the cluster;
 * windows run inside (group, block);
 * a summary of one row per (group, block) carries totals or last values across the borders.
 
@@ -15,23 +16,22 @@ key plus a unique tie-break column.  Missing keys sort last.
 from __future__ import annotations
 
 import math
-import sys
-from bisect import bisect_right
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import schema as S
+from .settle import settle
 
 ROWS_PER_BLOCK = 250_000
 SAMPLE_PER_BLOCK = 20
 #: Blocks up to which their summary, a row each, is sent to every task; above it, the join is left to Spark.
 BROADCAST_BLOCKS = 100_000
 BLOCK = "__block"
+#: Ranges that borders from the driver's sample cut; more blocks than these are cut again inside the cluster.
+MAX_RANGES = 1000
 _INF = float("inf")
-_TOP = sys.float_info.max  # separates missing keys, which are infinite, from all others
-_SUB = 1 << 20  # block number = range number * _SUB + part of a hot range
 _WHOLE = -1  # block of the groups that are not cut
 
 
@@ -50,8 +50,7 @@ class Blocks:
         return Window.partitionBy(*[S.q(g) for g in self.group], BLOCK).orderBy(*keys)
 
     def order_key(self) -> Column:
-        """The whole order as one comparable value, missing parts last."""
-        return F.struct(*[e for c in self.order for e in (S.q(c).isNull(), S.q(c))])
+        return _key_of(self.order)
 
     def key_columns(self) -> list[str]:
         return [*self.group, BLOCK]
@@ -69,38 +68,6 @@ def _descending(name: str) -> Column:
     return S.q(name).desc_nulls_first()
 
 
-def _common_prefix(df: DataFrame, name: str) -> int:
-    lo, hi = df.agg(F.min(S.q(name)), F.max(S.q(name))).first()
-    if lo is None:
-        return 0
-    n = 0
-    while n < min(len(lo), len(hi)) and lo[n] == hi[n]:
-        n += 1
-    return n
-
-
-def _scale(df: DataFrame, name: str) -> Column:
-    """A double that never decreases along the order of the column; missing cells are infinite."""
-    dt = S.dtype_of(df, name)
-    c = S.q(name)
-    if isinstance(dt, T.TimestampNTZType):
-        x = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c).cast("double")
-    elif isinstance(dt, T.TimestampType):
-        x = F.unix_micros(c).cast("double")
-    elif isinstance(dt, T.DateType):
-        x = F.unix_date(c).cast("double")
-    elif S.is_string(dt):
-        # the six bytes after the common prefix, as one number
-        part = F.substring(F.encode(F.substr(c, F.lit(_common_prefix(df, name) + 1), F.lit(6)), "UTF-8"), 1, 6)
-        x = F.conv(F.rpad(F.hex(part), 12, "0"), 16, 10).cast("double")
-    elif isinstance(dt, T.BooleanType):
-        x = c.cast("int").cast("double")
-    else:
-        x = F.nanvl(c.cast("double"), F.lit(None).cast("double"))
-    # adding zero makes -0.0 equal to 0.0 for the range search, too
-    return F.coalesce(F.least(x + 0.0, F.lit(math.nextafter(_TOP, 0.0))), F.lit(_INF))
-
-
 def bucket(df: DataFrame, name: str, borders: list[float], out: str) -> DataFrame:
     """Number of the half-open range between borders that each value falls into."""
     inner = sorted({b for b in borders if -_INF < b < _INF})
@@ -110,13 +77,6 @@ def bucket(df: DataFrame, name: str, borders: list[float], out: str) -> DataFram
     return cut.transform(df).withColumn(out, F.col(out).cast("int"))
 
 
-def _hot_groups(df: DataFrame, group: tuple[str, ...], limit: int) -> DataFrame | None:
-    """Groups above the block size; at most rows / limit of them exist."""
-    counts = df.groupBy(*[S.q(g) for g in group]).agg(F.count(F.lit(1)).alias("__n"))
-    hot = counts.filter(F.col("__n") > limit).drop("__n").collect()
-    return df.sparkSession.createDataFrame(hot, df.select(*[S.q(g) for g in group]).schema) if hot else None
-
-
 def group_key(cols: list[str]) -> Column:
     """All group columns as one hashable join key, in which missing equals missing."""
     return F.struct(*[S.q(c).alias(f"k{i}") for i, c in enumerate(cols)])
@@ -141,54 +101,71 @@ def blocks(
     if rows <= limit:
         return whole
     count = math.ceil(rows / limit)  # blocks keep their size, so their number follows the rows
-    hot = _hot_groups(df, group, limit) if group else None
-    if group and hot is None:
-        return whole
-
-    keyed = df.withColumn("__k1", _scale(df, order[0]))
-    keyed = keyed.withColumn("__k2", _scale(df, order[1]) if len(order) > 1 else F.lit(0.0))
-    share = min(1.0, 1.2 * SAMPLE_PER_BLOCK * count / rows)
-    got = keyed.select("__k1", "__k2").sample(fraction=share, seed=29).toArrow()
-    sample = sorted(zip(got["__k1"].to_pylist(), got["__k2"].to_pylist()))
-    if not sample:
-        return whole
-    cuts = [sample[len(sample) * i // count][0] for i in range(1, count)]
-    repeated = {a for a, b in zip(cuts, cuts[1:]) if a == b and a < _INF}
-    borders = set(cuts) | {math.nextafter(v, _INF) for v in repeated} | {_TOP}
-    keyed = bucket(keyed, "__k1", list(borders), "__range")
-    block = F.col("__range").cast("long") * _SUB
-
-    # ranges of a single repeated key are cut again along the tie-break
-    inner = sorted(b for b in borders if b < _INF)
-    tail = sum(1 for a in cuts if a == _INF)  # rows without a key
-    if repeated or tail > 1:
-        parts = {bisect_right(inner, v): cuts.count(v) + 1 for v in repeated}
-        if tail > 1:
-            parts[len(inner)] = tail + 1
-        finest = max(parts.values())
-        special = repeated | ({_INF} if tail > 1 else set())
-        second = sorted(k2 for k1, k2 in sample if k1 in special)
-        keyed = bucket(keyed, "__k2", [second[len(second) * i // finest] for i in range(1, finest)], "__part")
-        step = [math.ceil(finest / parts[r]) if r in parts else _SUB for r in range(len(inner) + 1)]
-        block = block + F.floor(F.col("__part") / F.get(F.lit(step), F.col("__range"))).cast("long")
-        keyed = keyed.withColumn(BLOCK, block).drop("__part")
-    else:
-        keyed = keyed.withColumn(BLOCK, block)
-    tagged = keyed.drop("__k1", "__k2", "__range")
+    hot = hot_count = None
+    if group:
+        sizes = df.groupBy(*[S.q(g) for g in group]).agg(F.count(F.lit(1)).alias("__n"))
+        hot = settle(sizes.filter(F.col("__n") > limit).drop("__n"))  # at most rows / limit groups
+        hot_count = hot.count()
+        if not hot_count:
+            return whole
+    tagged = df.withColumn(BLOCK, _range_number(df, order, count, rows))
+    if count > MAX_RANGES:
+        tagged = _cut_again(tagged, order, count, rows)
     if hot is not None:
-        marks = F.broadcast(hot.select(group_key(list(group)).alias("__hot")))
+        marks = hot.select(group_key(list(group)).alias("__hot"))
+        marks = F.broadcast(marks) if hot_count <= BROADCAST_BLOCKS else marks
         block = F.when(F.col("__hot").isNotNull(), F.col(BLOCK)).otherwise(F.lit(_WHOLE).cast("long"))
         tagged = tagged.join(marks, group_key(list(group)) == F.col("__hot"), "left")
         tagged = tagged.withColumn(BLOCK, block).drop("__hot")
     return Blocks(tagged, group, order, True, count)
 
 
+def _range_number(df: DataFrame, order: tuple[str, ...], count: int, rows: int) -> Column:
+    """Number of the range of the whole order key, out of at most ``MAX_RANGES``, by a search among borders from a bounded sample."""
+    ranges = min(count, MAX_RANGES)
+    share = min(1.0, 1.2 * SAMPLE_PER_BLOCK * ranges / rows)
+    picked = df.select(*[S.q(c) for c in order]).sample(fraction=share, seed=29)
+    # the sample is sorted by Spark, whose order of strings, decimals and missing keys is the one that counts
+    sample = picked.orderBy(*[_ascending(c) for c in order]).collect()
+    borders = [sample[len(sample) * i // ranges] for i in range(1, ranges)] if sample else []
+    if not borders:
+        return F.lit(0).cast("long")
+    types = [S.dtype_of(df, c) for c in order]
+    lit = lambda row: F.struct(*[e for v, t in zip(row, types) for e in (F.lit(v is None), F.lit(v).cast(t))])
+    return _place(F.array(*[lit(b) for b in borders]), F.lit(len(borders)), _key_of(order), len(borders)).cast("long")
+
+
+def _key_of(order: tuple[str, ...]) -> Column:
+    """The whole order as one comparable value, missing parts last."""
+    return F.struct(*[e for c in order for e in (S.q(c).isNull(), S.q(c))])
+
+
+def _place(borders: Column, n: Column, key: Column, most: int) -> Column:
+    """How many of the n sorted borders are not above the key, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(most, 1).bit_length()))])
+    further = lambda at, step: (at + step <= n) & (F.get(borders, at + step - 1) <= key)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(further(at, step), at + step).otherwise(at))
+
+
+def _cut_again(tagged: DataFrame, order: tuple[str, ...], count: int, rows: int) -> DataFrame:
+    """Every range in parts of its own, by borders that are sampled, sorted and joined in the cluster."""
+    share = min(1.0, 1.2 * SAMPLE_PER_BLOCK * count / rows)
+    parts = math.ceil(count / MAX_RANGES)
+    sample = tagged.select(F.col(BLOCK).alias("__range"), _key_of(order).alias("__k")).sample(fraction=share, seed=31)
+    keys = sample.groupBy("__range").agg(F.sort_array(F.collect_list("__k")).alias("__keys"))  # some 20 keys a part
+    every = F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.get("__keys", F.floor(F.size("__keys") * i / parts).cast("int")))
+    borders = settle(keys.select("__range", F.array_distinct(every).alias("__borders")))
+    joined = tagged.join(borders, F.col(BLOCK) == F.col("__range"), "left")
+    part = F.coalesce(_place(F.col("__borders"), F.size("__borders"), _key_of(order), parts), F.lit(0))
+    return joined.withColumn(BLOCK, F.col(BLOCK) * parts + part).drop("__range", "__borders")
+
+
 def _attach(b: Blocks, rows: DataFrame, summary: DataFrame, names: list[str]) -> DataFrame:
     """Summary columns next to each row of their (group, block)."""
     keys = b.key_columns()
     side = summary.select(group_key(keys).alias("__key"), *names)
     if not b.group and b.count <= BROADCAST_BLOCKS:
-        side = F.broadcast(side)  # hot ranges are cut into parts, so there are at most a few rows for each of the blocks
+        side = F.broadcast(side)  # a row for each block
     return rows.join(side, group_key(keys) == F.col("__key"), "left").drop("__key")
 
 
