@@ -35,6 +35,7 @@ def test_secret_ledger_runs_only_what_is_new(docs):
     more = secret_scan.scan(docs, first, secret_scan.RULES)
     assert {len(r["rules"]) for r in more.collect()} == {len(secret_scan.MORE_RULES)}
     assert rows_of(secret_scan.secret_scan(docs, first)) == rows_of(secret_scan.secret_scan(docs))
+    assert rows_of(secret_scan.secret_scans(docs)) == rows_of(secret_scan.secret_scan(docs))
     row = secret_scan.secret_scan(docs).filter("doc_id = 12").first()
     assert (row["n_assign"], row["n_access"], row["n_hex"]) == (1, 1, 1) and row["spans"].startswith("assign:0:26,access:28:48,hex:49:65")
 
@@ -110,6 +111,22 @@ def test_licence_labels(docs):
     assert (row["n_base"], row["first_word"], row["last_word"], row["base_labels"], row["labels"]) == (2, 5, 7, "cc-by,reserved", "cc-by,mit,reserved")
 
 
+def test_licence_notices_over_lines_and_in_long_ones(spark):
+    """Notices wrapped over lines and at every place of a longer text are found; what shares most words with another licence isn't it."""
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License"
+    filler = [f"filler{i}" for i in range(60)]
+    far = ["gnu", *filler, "affero", *filler, "general", *filler, "public", *filler, "license"]
+    texts = [
+        ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted", "bsd"),
+        ("under the GNU General Public License", "gpl"), ("released under the BSD license", ""), (" ".join(far), ""),
+        ("Released under\nthe\nMIT License", "mit"), ("GNU Affero General Public License", "agpl,gpl"), (None, ""), ("", ""), ("x " * 20_000 + "Released under the MIT License", "mit"),
+    ]
+    texts += [(" ".join([*filler[:k], gpl, *filler]), "gnu,gpl") for k in range(20)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id bigint, text string")
+    found = {r["doc_id"]: r["labels"] for r in license_scan.license_scan(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == [want for _, want in texts]
+
+
 def test_bpe_equals_the_library(spark, docs):
     from tokenizers import Tokenizer
 
@@ -146,8 +163,9 @@ def test_line_dedup_keeps_one_of_each_group(spark, docs):
 
 def test_edit_similarity_in_words(spark):
     pairs = [("a b c d e", "a b c d x", True), ("a b c d e", "a b c y x", False), ("a b c d e", "b c d e", True), ("a b c d e f", "f e d c b a", False)]
-    df = spark.createDataFrame(pairs, "s string, t string, want boolean")
-    assert df.filter(line_dedup.similar("s", "t") != F.col("want")).count() == 0
+    df = spark.createDataFrame([(b"", b"", s, t) for s, t, _ in pairs], "a binary, b binary, s string, t string")
+    df = df.mapInArrow(line_dedup.coded, "a binary, b binary, s string, t string").select(line_dedup.similar("s", "t").alias("found"))
+    assert [r["found"] for r in df.collect()] == [want for _, _, want in pairs]
 
 
 def test_suffix_dedup_equals_brute_force(docs):
@@ -220,39 +238,47 @@ def test_pipeline_keeps_columns_and_agrees_with_its_parts(spark):
     assert rows_of(last) == rows_of(corpus_pipeline.run(spark, SF_DIR)) and last.count() == docs.count()
 
 
-def test_hashes_few_bits_apart_share_a_place(spark):
+def test_hashes_few_bits_apart_share_a_place():
     rng = np.random.default_rng(5)
-    data = []
-    for _ in range(300):
-        a = int(rng.integers(0, 1 << 60))
-        b = a
+    a = rng.integers(0, 1 << 60, 300).astype(np.uint64)
+    b = a.copy()
+    for i in range(300):
         for bit in rng.choice(60, rng.integers(0, line_dedup.BITS + 1), replace=False):
-            b ^= 1 << int(bit)
-        data.append((a, b))
-    df = spark.createDataFrame(data, "a bigint, b bigint")
-    df = df.select(line_dedup.places(F.col("a")).alias("a"), line_dedup.places(F.col("b")).alias("b"))
-    assert df.filter(~F.arrays_overlap("a", "b")).count() == 0
-    assert df.filter(F.size(F.array_distinct("a")) != 6).count() == 0
-
-
-def test_simhash_equals_the_majority_of_bits(spark):
-    """SimHash of all words, bit by bit, on short, long and odd lines."""
-    lines = ["a b c d e", "b a c d e a", " ".join(f"w{i}" for i in range(400)), "é ü ñ ø ß ж", "x y z u v w p q r s t a b c d", "x y z u v w p q r s t a b c d e"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, norm string")
-    df = df.select("i", F.array_distinct(F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))).alias("h"))
-    for r in df.select("h", line_dedup.simhash(F.col("h")).alias("sim")).collect():
-        assert r["sim"] == sum(1 << b for b in range(60) if 2 * sum(h >> b & 1 for h in r["h"]) > len(r["h"]))
-
-
-def test_pairs_of_words_that_come_again_are_told_apart(spark):
-    lines = ["a b c d", "a b a b a b", "x x x x x", "p q r p q s p q"]
-    df = spark.createDataFrame([(t,) for t in lines], "norm string")
-    df = df.select(F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("h"))
-    for r in df.select("h", line_dedup.word_pairs(F.col("h")).alias("pairs")).collect():
-        assert len(set(r["pairs"])) == len(r["pairs"]) == len(r["h"]) - 1
-    one, two = (r["pairs"] for r in spark.createDataFrame([("a b a b",), ("b a b a b",)], "t string").select(
-        line_dedup.word_pairs(F.transform(F.split("t", " "), lambda w: F.xxhash64(w))).alias("pairs")).collect())
-    assert set(one) < set(two)
+            b[i] ^= np.uint64(1) << np.uint64(bit)
+    one, two = line_dedup.places(a), line_dedup.places(b)
+    assert one.shape == (300, 3) and all(set(x) & set(y) for x, y in zip(one.tolist(), two.tolist()))
+    assert len(np.unique(one)) == one.size
+
+
+def test_simhash_equals_the_majority_of_bits():
+    """SimHash of all words, bit by bit, on runs of one to a thousand hashes."""
+    rng = np.random.default_rng(6)
+    sizes = [1, 2, 5, 254, 255, 256, 1000, 3]
+    h = rng.integers(0, 2**64, sum(sizes), dtype=np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    for start, size, sim in zip(starts, sizes, line_dedup.simhash(h, starts).tolist()):
+        run = h[start : start + size].tolist()
+        assert sim == sum(1 << b for b in range(60) if 2 * sum(x >> b & 1 for x in run) > size)
+
+
+def test_pairs_of_words_that_come_again_are_told_apart():
+    def pairs(line):
+        p = line_dedup.Parsed([line])
+        return line_dedup.pairs_of(p.h, np.zeros(line_dedup.WORD_SLOTS, np.uint8), p.owner)[0].tolist()
+
+    for line in ["a b c d", "a b a b a b", "x x x x x", "p q r p q s p q"]:
+        assert len(set(pairs(line))) == len(line.split()) - 1
+    assert set(pairs("a b a b")) < set(pairs("b a b a b"))
+
+
+def test_lines_and_words_of_texts():
+    texts = ["Héllo, Wörld!\n--  ==\n\n x y\tz", None, "", "end\n", "\u00a0\nÀ́b İx \U0001f600 日本_2"]
+    p = line_dedup.Parsed(texts)
+    found = [(int(p.doc[i]), int(p.pos[i]), int(p.n[i]), p.norm(i)) for i in np.flatnonzero(p.filled)]
+    assert found[:4] == [(0, 0, 2, "héllo wörld"), (0, 1, 0, ""), (0, 3, 3, "x y z"), (3, 0, 1, "end")] and found[4][:3] == (4, 0, 0)
+    assert found[5][2] == len(found[5][3].split()) == 4
+    one, two = line_dedup.Parsed(["a\nHello,  world\n== --"]), line_dedup.Parsed(["hello WORLD!\n ==  --\nhelloworld"])
+    assert one.ids(np.array([1, 2])) == two.ids(np.array([0, 1])) and one.ids(np.array([1])) != two.ids(np.array([2]))
 
 
 def word_distance(a, b):
