@@ -37,7 +37,7 @@ def tokenizer_file() -> str:
 
 
 QUERIES = {
-    "op1_secret_scan": _on_documents(secrets.secret_scan),
+    "op1_secret_scan": _on_documents(secrets.secret_scans),
     "op2_quality_rules": _on_documents(rules.quality_rules),
     "op3_jaccard_join": _on_documents(joins.jaccard_join),
     "op4_benchmark_decontamination": _on_both(benchmark.decontaminate, "benchmark"),

@@ -11,7 +11,8 @@ and scan: the rule versions that ran on it and the spans they found.  A scan
 The base rules are fixed; further ones add spans.  A changed rule gets a new version, and only it runs again.
 
 Edge cases: a null text is an empty one, without findings; repeated rows are paths of the same blob and get the same findings; a
-null ``doc_id`` stays; an empty table or ledger works; extra columns, whatever their names, are kept as part of the path.
+null ``doc_id`` stays; an empty table or ledger works; extra columns, whatever their names, are kept as part of the path.  Very long
+texts are searched whole.  Spans that tie at one start go by the order of the rules.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import let, text_of
+from .common import let, settled, text_of
 
 
 @dataclass(frozen=True)
@@ -140,6 +141,18 @@ def _listed(findings: Column, rules: list[Rule]) -> Column:
 def secret_scan(docs: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] = RULES) -> DataFrame:
     """One row for each document: numbers and digest of the base rules' spans, and all spans."""
     paths, _ = scan_history(docs.select("doc_id", "text"), ledger, rules)
+    return _report(paths, rules)
+
+
+def secret_scans(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """The same by two scans over one stored ledger: the base rules on all blobs, then of all rules only what the ledger lacks."""
+    docs = docs.select("doc_id", "text")
+    ledger = settled(scan(docs, None, BASE_RULES))
+    whole = ledger.unionByName(settled(scan(docs, ledger, rules)))
+    return _report(join_back(docs, whole, rules), rules)
+
+
+def _report(paths: DataFrame, rules: list[Rule]) -> DataFrame:
     number = lambda r: F.size(F.filter("findings", lambda x: x["rule"] == r.name)).cast("long")
     return paths.select(
         "row.doc_id",
