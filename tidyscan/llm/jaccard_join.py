@@ -10,7 +10,7 @@ Texts whose sets of five-word shingles have a Jaccard similarity of ``SIMILARITY
   token of each set's sample, and again; sets with few tokens take all of them.
 * **Small buckets** are brute-forced: their pairs pass if their samples agree enough.  Buckets that two splits don't make small
   hold mostly near copies; their sets whose samples agree with the least set's are chained to it, and the rest, texts that
-  share a notice, say, are split on, ``LEVELS`` times at most.
+  share a notice, say, are split on as long as that makes less of them, ``LEVELS`` times at most, and then chained.
 * Both kinds of edges make groups, and within a group **all** pairs are compared by exact Jaccard similarity, in blocks of
   ``BLOCK`` sets.  A task sees two blocks at most and returns for each set its number of links and one edge to its component, never the pairs.
 
@@ -39,7 +39,7 @@ ship(__name__)
 
 RECALL = 0.99999
 #: Sets in a bucket that is brute-forced, times that a larger one is split, chosen tokens of a set in a split.
-SMALL, LEVELS, CHILDREN = 16, 6, 2.0
+SMALL, LEVELS, CHILDREN = 16, 16, 2.0
 #: Split from which dense buckets are chained, and tokens of a sample up to which all are children.
 CHAINED_FROM, FEW = 2, 12
 #: Share of the samples' tokens below which a pair cannot plausibly have the wanted similarity.
@@ -126,20 +126,23 @@ def _edges(sets: DataFrame, runs: int) -> DataFrame:
     Sets of a dense bucket whose samples agree with those of its least set are chained to it; the others are split on, with
     neither copies nor a passage that they share to keep them together.  What is dense after the last split is chained as it is."""
     rows = sets.select(F.explode("sample").alias("path"), "key", "size")
-    found, chains = [], []
+    found, chains, least = [], [], None
     for level in range(LEVELS):
         bucketed = _counted(rows)
         found.append(_pairs(bucketed))
         big = bucketed.filter(F.col("n") > SMALL).select("path", "key", "size")
         if level >= CHAINED_FROM:
             chained = big.join(big.groupBy("path").agg(F.min("key").alias("hub")), "path")
-            if level < LEVELS - 1:
+            dense = big.count()
+            if not dense:
+                break
+            # sets that are nearly similar, all to each other, don't fall apart: their buckets would only become more
+            if level < LEVELS - 1 and (least is None or dense <= 1.2 * least):
+                least = min(dense, least or dense)
                 met = chained.filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
                 chains.append(settled(_plausible(met, sets, runs)))
                 near = chains[-1].select(F.col("a").alias("hub"), F.col("b").alias("key"))
                 big = settled(chained.filter("key <> hub").join(near, ["hub", "key"], "left_anti").select("path", "key", "size"))
-                if big.isEmpty():
-                    break
             else:
                 chains.append(chained.filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")))
                 break

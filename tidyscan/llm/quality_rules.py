@@ -156,7 +156,11 @@ def fit(measured_docs: DataFrame, rounds: int = ROUNDS) -> LabelModel:
     votes = rules()
     names = list(votes)
     counts = measured_docs.select(*[v.alias(n) for n, v in votes.items()]).groupBy(*names).count()
-    patterns = sorted(tuple(r) for r in counts.collect())  # at most 3^9 rows
+    return estimate(sorted(tuple(r) for r in counts.collect()), names, rounds)  # at most 3^9 rows
+
+
+def estimate(patterns: list[tuple[int, ...]], names: list[str], rounds: int = ROUNDS) -> LabelModel:
+    """The label model of patterns of votes, each followed by how many rows have it, by expectation-maximisation."""
     total = sum(p[-1] for p in patterns)
     belief = PRIOR_DOCUMENTS
     model = LabelModel(PRIOR_GOOD, dict(BELIEFS))
