@@ -132,6 +132,28 @@ def topk(s, d):
     return E.topk_levels(df, "user_id", 10)
 
 
+NESTED_KIND = "array(event_type, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END)"
+
+
+def topk_nested(s, d):
+    return E.topk_levels(load(s, d, "events").selectExpr("event_id", f"{NESTED_KIND} AS kind"), "kind", 3, "top").drop("kind")
+
+
+def default_key(s, d):
+    left = load(s, d, "customer").selectExpr("c_custkey AS key", "c_name AS name")
+    return J.merge(left, load(s, d, "orders").selectExpr("o_orderkey", "o_custkey AS key", "o_orderstatus AS name"))
+
+
+def typed_series(s, d):
+    day = "CASE WHEN o_orderkey % 11 = 0 THEN 'bad' ELSE date_format(o_orderdate, 'yyyy-MM-dd') END AS day"
+    made = D.series(load(s, d, "orders").selectExpr("o_orderkey", day, "CAST(o_totalprice AS STRING) AS price"), "day", "price")
+    return made.select("o_orderkey", F.col("__t").alias("time"), F.round("__v", 2).alias("value"))
+
+
+def stemmed(s, d):
+    return C.clean_text(load(s, d, "documents").select("doc_id", "text"), "text", stemmer=lambda w: w[:4]).drop("text")
+
+
 def one_hot(s, d):
     df = load(s, d, "events").select(
         "event_id", "event_type", F.expr("CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS kind"),
@@ -256,6 +278,10 @@ QUERIES = {
         texts(s, d).withColumn("name", F.expr("concat('order ', o_orderkey)"))
     ),
     "e02_topk_levels": topk,
+    "e02_topk_nested": topk_nested,
+    "j06_default_key": default_key,
+    "d01_series": typed_series,
+    "x08_stemmer": stemmed,
     "e03_one_hot": one_hot,
     "e04_ordinal": encoded("ordinal"),
     "e05_frequency": encoded("frequency"),
@@ -535,6 +561,12 @@ ORACLES = {
             for c in [*_TEXT_COLS, "name"]
         ]
     ),
+    "e02_topk_nested": """WITH g AS (SELECT event_id, '["' || event_type || '","' || (CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END) || '"]' AS kind
+  FROM events), t AS (SELECT kind FROM g GROUP BY kind ORDER BY count(*) DESC, kind LIMIT 3)
+SELECT event_id, CASE WHEN kind IN (FROM t) THEN kind ELSE '__other__' END AS top FROM g""",
+    "j06_default_key": "SELECT c_custkey AS key, c_name AS name_x, o_orderkey, o_orderstatus AS name_y FROM customer JOIN orders ON c_custkey = o_custkey",
+    "d01_series": "SELECT o_orderkey, CAST(o_orderdate AS DATE)::TIMESTAMP AS time, round(o_totalprice, 2) AS value FROM orders WHERE o_orderkey % 11 <> 0",
+    "x08_stemmer": f"SELECT doc_id, array_to_string(list_transform(string_split({_CLEAN}, ' '), lambda w: w[1:4]), ' ') AS text_clean FROM documents",
     "e02_topk_levels": "WITH g AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END AS user_id FROM events), "
     f"t AS ({_TOP_USERS}) SELECT event_id, CASE WHEN t.user_id IS NULL AND g.user_id IS NOT NULL THEN '__other__' "
     "ELSE CAST(g.user_id AS VARCHAR) END AS user_id FROM g LEFT JOIN t ON t.user_id IS NOT DISTINCT FROM g.user_id",

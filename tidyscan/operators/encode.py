@@ -80,17 +80,25 @@ def ordered_head(counts: DataFrame, k: int) -> DataFrame:
     return counts.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
+def _as_text(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The table with nested columns as the text of their cells, which is one of a kind for equal cells and can be compared."""
+    nested = [c for c in cols if S.is_nested(S.dtype_of(df, c))]
+    return df.withColumns({c: S.stable_json(S.q(c), S.dtype_of(df, c)) for c in nested}) if nested else df
+
+
 def topk_levels(df: DataFrame, col: str, k: int = TOP_LEVELS, out: str | None = None) -> DataFrame:
-    """Map levels outside the k most frequent to ``__other__``."""
+    """Map levels outside the k most frequent to ``__other__``; levels of nested columns are shown as text."""
+    if out and S.is_nested(S.dtype_of(df, col)):
+        made = topk_levels(df.withColumn(out, S.q(col)), out, k)
+        return made.select(*[S.q(c) for c in dict.fromkeys([*df.columns, out])])
+    df = _as_text(df, [col])
     levels, _ = _top_levels(df, [col], k)[col]
     x = _level(df, col)
     known = [v for v in levels if v is not None]
     keep = x.isin(*known) if known else F.lit(False)
     if None in levels:
         keep = keep | x.isNull()
-    dt = S.dtype_of(df, col)
-    shown = S.stable_json(S.q(col), dt) if S.is_nested(dt) else S.q(col).cast("string")
-    return df.withColumn(out or col, F.when(F.coalesce(keep, F.lit(False)), shown).otherwise(F.lit(OTHER)))
+    return df.withColumn(out or col, F.when(F.coalesce(keep, F.lit(False)), S.q(col).cast("string")).otherwise(F.lit(OTHER)))
 
 
 def _one_hot(df: DataFrame, col: str, levels: list, more: bool, drop_first: bool) -> DataFrame:
@@ -137,6 +145,7 @@ def level_ranks(df: DataFrame, cols: list[str], rows_per_block: int | None = Non
 def one_hot(df: DataFrame, cols: list[str], k: int = TOP_LEVELS, drop_first: bool = False) -> DataFrame:
     """Replace each column by ``<col>_<level>`` indicators of its top levels and of the rest."""
     S.require(df, cols)
+    df = _as_text(df, cols)
     found = _top_levels(df, cols, k)
     for c in cols:
         df = _one_hot(df, c, *found[c], drop_first)
