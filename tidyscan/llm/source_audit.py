@@ -31,10 +31,13 @@ ship(__name__)
 
 THRESHOLD = 10
 #: Length of the first prefixes in bytes, and how many times longer each level's are.
-FIRST_PREFIX = 4
-LONGER = 2
-#: Entries that a task counts before it sends them on.
-HELD = 200_000
+FIRST_PREFIX = 6
+LONGER = 8
+#: Entries, and languages or groups, that a task counts before it sends them on.
+HELD = 500_000
+LANGS = 5_000
+#: Groups of language and source up to which their table, a short row each, is sent to all tasks.
+FEW_GROUPS = 200_000
 #: Terms in a bucket and sources in a block of the comparison.
 BUCKET = 4096
 SIDE = 64
@@ -49,55 +52,71 @@ def terms_of(text: bytes) -> list[bytes]:
     return text.translate(LETTERS).split()
 
 
-class Alive:
-    """Terms whose prefix of a length may be in the membership map; remembers what it has looked up."""
-
-    def __init__(self, bits: bytes | None, length: int):
-        self.bits, self.length, self.known = bits, length, {}
-
-    def __call__(self, lang: bytes, term: bytes) -> bool:
-        if self.bits is None:
-            return True
-        prefix = term[: self.length] if len(term) > self.length else term + STOP
-        key = (lang, prefix)
-        found = self.known.get(key)
-        if found is None:
-            if len(self.known) > HELD:
-                self.known.clear()
-            seed = xxhash.xxh64_intdigest(lang, 42)
-            h = xxhash.xxh64_intdigest(prefix, seed)
-            place = (h - 2**64 if h >= 2**63 else h) % (SLICES * SLICE_BITS)
-            found = self.known[key] = bool(self.bits[place >> 3] >> (place & 7) & 1)
+class Prefixes(dict):
+    """From a term of one language to its prefix of the level, or to None if its beginning is known to be too rare; filled as asked."""
+
+    def __init__(self, bits: bytes | None, lang: bytes, before: int, length: int):
+        super().__init__()
+        self.bits, self.seed, self.before, self.length = bits, xxhash.xxh64_intdigest(lang, 42), before, length
+
+    def alive(self, prefix: bytes) -> bool:
+        h = xxhash.xxh64_intdigest(prefix, self.seed)
+        place = (h - 2**64 if h >= 2**63 else h) % (SLICES * SLICE_BITS)
+        return bool(self.bits[place >> 3] >> (place & 7) & 1)
+
+    def __missing__(self, term: bytes) -> bytes | None:
+        if len(self) > HELD:
+            self.clear()
+        found = term[: self.length] if len(term) > self.length else term + STOP
+        if self.bits is not None and not (len(term) > self.before and self.alive(term[: self.before])):
+            found = None  # complete at an earlier level, or too rare
+        self[term] = found
         return found
 
 
-def _columns(batch: pa.RecordBatch, *names: str) -> list[list[bytes]]:
+class Kept(Prefixes):
+    """From a term of one language to whether it may be a kept one."""
+
+    def __missing__(self, term: bytes) -> bool:
+        found = self[term] = self.alive(term + STOP)
+        return found
+
+
+def _texts(batch: pa.RecordBatch, *names: str) -> list[list[bytes]]:
     return [batch.column(batch.schema.get_field_index(n)).cast(pa.binary()).to_pylist() for n in names]
 
 
+def _same(value: bytes, n: int) -> pa.Array:
+    return pa.repeat(pa.scalar(value.decode(), pa.string()), n)
+
+
 def prefix_counter(bits, before: int, length: int):
     """A task that gives lang, prefix and the number of its documents with a term of that prefix."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alive = Alive(bits.value if bits else None, before)
+        prefixes: dict[bytes, Prefixes] = {}
         counts: dict[bytes, Counter] = defaultdict(Counter)
 
-        def out() -> pa.RecordBatch:
-            rows = [(lang, p, n) for lang, c in counts.items() for p, n in c.items()]
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, c in counts.items():
+                columns = [_same(lang, len(c)), pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())]
+                yield pa.record_batch(columns, ["lang", "prefix", "docs"])
             counts.clear()
-            langs, prefixes, ns = zip(*rows) if rows else ((), (), ())
-            columns = [pa.array(langs, pa.binary()).cast(pa.string()), pa.array(prefixes, pa.binary()), pa.array(ns, pa.int64())]
-            return pa.record_batch(columns, ["lang", "prefix", "docs"])
 
         for batch in batches:
-            for lang, text in zip(*_columns(batch, "lang", "text")):
-                words = set(terms_of(text))
-                if bits:  # complete at an earlier level, or their beginning is too rare
-                    words = [w for w in words if len(w) > before and alive(lang, w)]
-                counts[lang].update({w[:length] if len(w) > length else w + STOP for w in words})
-                if sum(map(len, counts.values())) > HELD:
-                    yield out()
-        yield out()
+            for lang, text in zip(*_texts(batch, "lang", "text")):
+                cut = prefixes.get(lang)
+                if cut is None:
+                    if len(prefixes) > LANGS:
+                        prefixes.clear()
+                    cut = prefixes[lang] = Prefixes(bits.value if bits else None, lang, before, length)
+                found = set(map(cut.__getitem__, set(terms_of(text))))
+                found.discard(None)
+                held = counts[lang]
+                held.update(found)
+                if len(held) > HELD or len(counts) > LANGS:
+                    yield from out()
+        yield from out()
 
     return task
 
@@ -107,34 +126,27 @@ def term_counter(bits):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[bytes, bytes], Counter] = defaultdict(Counter)
-        known: dict[tuple[bytes, bytes], bool] = {}
-        alive = Alive(bits.value, 0)
-
-        def may(lang: bytes, w: bytes) -> bool:
-            found = known.get((lang, w))
-            if found is None:
-                if len(known) > HELD:
-                    known.clear()
-                alive.length = len(w)  # the whole term, ended
-                found = known[(lang, w)] = alive(lang, w)
-            return found
-
-        def out() -> pa.RecordBatch:
-            rows = [(*g, w, n) for g, c in counts.items() for w, n in c.items()]
+        before = held = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            known: dict[bytes, Kept] = {}
+            for (lang, source), c in counts.items():
+                may = known.get(lang) or known.setdefault(lang, Kept(bits.value, lang, 0, 0))
+                terms = [w for w in c if may[w]]
+                columns = [_same(lang, len(terms)), _same(source, len(terms)), pa.array(terms, pa.binary()).cast(pa.string())]
+                yield pa.record_batch([*columns, pa.array(map(c.__getitem__, terms), pa.int64())], ["lang", "source", "term", "n"])
             counts.clear()
-            langs, sources, words, ns = zip(*rows) if rows else ((), (), (), ())
-            texts = [pa.array(x, pa.binary()).cast(pa.string()) for x in (langs, sources, words)]
-            return pa.record_batch([*texts, pa.array(ns, pa.int64())], ["lang", "source", "term", "n"])
 
         for batch in batches:
-            for lang, source, text in zip(*_columns(batch, "lang", "source", "text")):
-                held = counts[lang, source]
-                for w, n in Counter(terms_of(text)).items():
-                    if may(lang, w):
-                        held[w] += n
-                if sum(map(len, counts.values())) > HELD:
-                    yield out()
-        yield out()
+            for lang, source, text in zip(*_texts(batch, "lang", "source", "text")):
+                group = counts[lang, source]
+                before = len(group)
+                group.update(terms_of(text))
+                held += len(group) - before
+                if held > HELD or len(counts) > LANGS:
+                    yield from out()
+                    held = 0
+        yield from out()
 
     return task
 
@@ -215,18 +227,19 @@ def audit(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     number = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
     none = F.when(F.col("v") > 0, _parts_of(F.lit(0), F.col("total"), F.col("v")))
     groups = settled(groups.withColumn("i", number).withColumn("none", none))
-    parts = counts.join(groups, ["lang", "source"]).withColumn("p", _parts_of(F.col("n"), F.col("total"), F.col("v")))
-    parts = settled(parts.select("lang", "source", "i", "v", "term", "n", "p"))
+    few = groups.count() <= FEW_GROUPS
+    small = lambda df: F.broadcast(df) if few else df  # noqa: E731  (no more rows than groups)
+    side = lambda c: F.floor(F.col(c) / SIDE).cast("int")
+    langs = settled(groups.groupBy("lang").agg(F.max(side("i")).alias("last"), F.sum("total").alias("whole")))
+    parts = counts.join(small(groups), ["lang", "source"]).withColumn("p", _parts_of(F.col("n"), F.col("total"), F.col("v")))
+    parts = settled(parts.join(small(langs), "lang").select("lang", "source", "i", "v", "last", "whole", "term", "n", "p"))
 
     # pairs: buckets of terms with pairs of source blocks
-    side = lambda c: F.floor(F.col(c) / SIDE).cast("int")
-    blocks = groups.groupBy("lang", "v").agg(F.max(side("i")).alias("last"))
     buckets = F.ceil(F.col("v") / BUCKET).cast("int")
-    with_last = lambda df: df.join(blocks.select("lang", "last"), "lang")
     other = F.explode(F.sequence(F.lit(0), F.col("last")))
     cell = [F.least(side("i"), F.col("o")).alias("a"), F.greatest(side("i"), F.col("o")).alias("b")]
-    spread = with_last(parts).select("*", other.alias("o")).select("lang", F.pmod(F.xxhash64("term"), buckets).cast("int").alias("bucket"), *cell, "i", "term", "p")
-    sides = with_last(groups.filter("v > 0")).select("*", other.alias("o")).select(
+    spread = parts.select("*", other.alias("o")).select("lang", F.pmod(F.xxhash64("term"), buckets).cast("int").alias("bucket"), *cell, "i", "term", "p")
+    sides = groups.filter("v > 0").join(small(langs), "lang").select("*", other.alias("o")).select(
         F.col("lang").alias("l"), F.explode(F.sequence(F.lit(0), buckets - 1)).alias("k"), *cell, F.col("i").alias("i"), "none"
     ).withColumnsRenamed({"a": "x", "b": "y"})
     sums = spread.groupBy("lang", "bucket", "a", "b").cogroup(sides.groupBy("l", "k", "x", "y")).applyInPandas(
@@ -236,14 +249,13 @@ def audit(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     sums = sums.select("lang", both).select("lang", "s.*")
     left = groups.select("lang", "source", "i", "v", F.col("none").alias("p"))
     right = groups.select("lang", F.col("source").alias("item"), F.col("i").alias("j"), F.col("none").alias("q"))
-    pairs = left.join(right, "lang").filter("i <> j").join(sums, ["lang", "i", "j"], "left")
+    pairs = left.join(small(right), "lang").filter("i <> j").join(sums, ["lang", "i", "j"], "left")
     base = F.col("v") * _divergence(F.col("p"), F.col("q"))
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce(base, F.lit(0)) + F.coalesce("more", F.lit(0)))
 
     # terms: against the whole language
-    language = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"))
-    whole = totals.groupBy("lang").agg(F.sum("total").alias("total")).join(sizes, "lang")
-    q = language.join(whole, "lang").select("lang", "term", _parts_of(F.col("n"), F.col("total"), F.col("v")).alias("q"))
+    language = parts.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.first("whole").alias("whole"), F.first("v").alias("v"))
+    q = language.select("lang", "term", _parts_of(F.col("n"), F.col("whole"), F.col("v")).alias("q"))
     over = parts.join(q, ["lang", "term"]).filter("p > q")
     over = over.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _divergence(F.col("p"), F.col("q")).alias("value"))
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
