@@ -19,6 +19,7 @@ Tokens come from ``tiktoken`` with the vocabulary and merge order of the tokeniz
 
 Edge cases: a null text is an empty one with no tokens; very long texts are cut like others; repeated rows get
 the same answer; a null ``doc_id`` stays; an empty table gives an empty result; extra columns are ignored.
+Ties don't occur: a text has one encoding.
 """
 
 from __future__ import annotations

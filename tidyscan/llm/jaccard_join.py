@@ -19,6 +19,7 @@ Equal texts are one set with a multiplicity throughout.
 Edge cases: a null text is an empty one; a text without words links to nothing and is a class of its own; a text of one to four
 words has one shingle, all its words; repeated rows are copies of each other; a null ``doc_id`` is kept and a class's id is
 the least one that isn't null; an empty table gives an empty result; extra columns are ignored, and kept by ``one_of_each``.
+Very long texts have a set of all their shingles, in one task's memory.  Of documents that tie for the least id, rows of one id and text, one stays.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ expectation-maximisation runs on those.
 
 Edge cases: a null text is an empty one; an empty text has no words and fails the base rule; rows that
 repeat are judged alike, each by itself; a null ``doc_id`` stays; an empty table gives an empty result; extra columns are
-left alone and may have any names.
+left alone and may have any names.  Very long texts are counted whole.  A posterior of exactly ``KEEP_FROM`` keeps the text.
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ and ``PAIRS`` pairs of them, chosen with a fixed seed; scoring is an expression
 Edge cases: a null text is an empty one and gets a score like any other; a null ``doc_id`` is never learnt from and not held
 out; a null label is no label; repeated rows get equal scores and count once in the fit; empty tables of documents give an empty
 result; without labels, or with labels of one kind only, every score is the neutral one at the cut; extra columns are ignored.
+Very long texts are measured whole.  Texts that tie at the cut are predicted alike.
 """
 
 from __future__ import annotations

@@ -14,6 +14,7 @@ Equal texts are one text: if it has ``SIZE`` bytes or more and several documents
 
 Edge cases: a null text is an empty one; texts shorter than ``SIZE`` bytes lose nothing; matches never cross documents; repeated rows
 are copies of each other; a null ``doc_id`` stays; an empty table gives an empty result; extra columns are ignored.
+Very long texts are cut into windows like others.  Ties don't occur: every occurrence of a repeated string goes.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ surely a word's share of toxic texts differs from the overall share; scoring is
 
 Edge cases: a null or empty text has no words and gets the score of the intercept; a null ``doc_id`` is never learnt from and not
 held out; a null label is no label; repeated rows get equal scores and count once in the fit; empty tables of documents
-give an empty result; without labels, or with none toxic, every score is next to 0; extra columns are ignored.
+give an empty result; without labels, or with none toxic, every score is next to 0; extra columns are ignored.  Very long texts
+are read whole.  Words that tie for the last place of the vocabulary go by spelling.
 """
 
 from __future__ import annotations
