@@ -1,7 +1,8 @@
 """A training corpus from raw documents: quality rules, line dedup, one of each group of near copies, decontamination, tokens.
 
 Each stage is written as Parquet and read again as the next one's documents; all but the last keep the columns of documents.
-The tables may have nulls, empty texts and repeated rows; what a stage does with them stands in its operator's docstring.
+The tables may have nulls, empty and very long texts, ties and repeated rows, or be empty; what a stage does with them stands in its
+operator's docstring.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ STAGES = [
     ("decontamination", uncontaminated),
     ("bpe_encoding", tokens),
 ]
-#: SimHash, minimum hashes and byte-pair merges have no SQL form; the tests hold ``run`` against brute force.
+#: SimHash, minimum hashes and byte-pair merges have no SQL form; the tests hold ``run`` against a plain form of all stages.
 ORACLE_SQL = None
 
 
