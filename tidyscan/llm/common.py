@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import uuid
@@ -84,6 +85,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             _delete(spark, path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of results that nothing refers to any more; by itself it looks every half hour."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the table of a settled result that nothing reads any more."""
     for tables in _OPEN:
