@@ -189,7 +189,7 @@ def block_sums(key, terms: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
     """Sums over a bucket's terms for the pairs of two blocks of sources: what each term adds beyond a term that neither has."""
     lang, _, a, b = key
     if terms.empty:
-        return pd.DataFrame({"lang": [], "i": [], "j": [], "more": []})
+        return _sums_frame(lang, [], [], [])
     groups = groups.sort_values("i")
     place = {i: k for k, i in enumerate(groups["i"])}
     none = groups["none"].to_numpy(np.int64)
@@ -200,14 +200,19 @@ def block_sums(key, terms: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
     at = groups["i"].to_numpy()
     mine = np.flatnonzero(at // SIDE == a)
     theirs = np.flatnonzero(at // SIDE == b)
-    rows = []
+    i, j, sums = [], [], []
     for k in mine:
         others = theirs[at[theirs] > at[k]] if a == b else theirs
         more = (f(p[k], p[others]) - f(none[k], none[others])[:, None]).sum(axis=1)
-        rows.append(pd.DataFrame({"i": at[k], "j": at[others], "more": more}))
-    made = pd.concat(rows)
-    made.insert(0, "lang", lang)
-    return made
+        i += [int(at[k])] * len(others)
+        j += at[others].tolist()
+        sums += more.tolist()
+    return _sums_frame(lang, i, j, sums)
+
+
+def _sums_frame(lang: str, i: list[int], j: list[int], sums: list[int]) -> pd.DataFrame:
+    names = pd.Series([lang] * len(i), dtype=object)
+    return pd.DataFrame({"lang": names, "i": np.array(i, np.int32), "j": np.array(j, np.int32), "more": np.array(sums, np.int64)})
 
 
 def audit(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
