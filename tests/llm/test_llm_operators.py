@@ -328,6 +328,21 @@ def test_long_lines_and_frequent_pairs(spark):
     assert [r["doc_id"] for r in line_dedup.line_dedup(docs).filter("n_removed > 0").collect()] == [1]
 
 
+def test_word_levels_come_from_all_documents(spark):
+    """More documents than were counted once, each with a word of its own and one that all have."""
+    n = 12_000
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('common w', id, if(id % 2 = 0, '', '\\nhalf')) as text")
+    found = line_dedup.occurrences(docs).cache()
+    assert found.filter("line is not null").count() == n + n // 2
+    words = [*["common"] * n, *["half"] * (n // 2), *(f"w{i}" for i in range(n))]
+    want = np.bincount(line_dedup.slot_of(line_dedup.Parsed([" ".join(words)]).h), minlength=line_dedup.WORD_SLOTS)
+    counts = found.filter("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    assert {r["slot"]: r["n"] for r in counts} == {int(i): int(want[i]) for i in np.flatnonzero(want)}
+    levels = np.frombuffer(line_dedup.word_levels(found).value, np.uint8)
+    often, half, rare = (levels[line_dedup.slot_of(line_dedup.Parsed([w]).h)[0]] for w in ("common", "half", "w7"))
+    assert line_dedup.TOP_LEVEL >= often > half > rare
+
+
 def test_line_dedup_normalises_to_letters_and_digits(spark):
     data = spark.createDataFrame([(1, "Hello, World\n--\n=="), (2, "hello world!!\n --"), (3, "hello worlds")], "doc_id bigint, text string")
     found = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(data).collect()}
