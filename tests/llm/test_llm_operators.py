@@ -127,6 +127,15 @@ def test_licence_notices_over_lines_and_in_long_ones(spark):
     assert [found[i] for i in range(len(texts))] == [want for _, want in texts]
 
 
+def test_every_run_of_words_is_a_block_with_a_step_of_one(spark):
+    """A notice spread over all words of a run that begins between two steps."""
+    filler = [f"filler{i}" for i in range(27)]
+    spread = [*"abcd", "licensed", "under", *filler[:13], "cc", *filler[13:], "by", "4", *filler]
+    docs = spark.createDataFrame([(1, " ".join(spread))], "doc_id bigint, text string")
+    assert license_scan.license_scan(docs, step=1).first()["labels"] == "cc"
+    assert license_scan.license_scan(docs).first()["labels"] == ""  # as the SQL has it
+
+
 def test_bpe_equals_the_library(spark, docs):
     from tokenizers import Tokenizer
 
