@@ -337,6 +337,28 @@ def test_long_lines_and_frequent_pairs(spark):
     assert [r["doc_id"] for r in line_dedup.line_dedup(docs).filter("n_removed > 0").collect()] == [1]
 
 
+def test_lines_of_a_small_vocabulary_hardly_meet(spark):
+    """Runs of three words rarely agree by chance: of pairs of words two thirds of these lines had enough in common to be looked at again."""
+    rng = np.random.default_rng(9)
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in rng.integers(0, 300, 40))) for i in range(3000)], "doc_id bigint, text string")
+    found = line_dedup.occurrences(docs).cache()
+    lines = found.filter("line is not null").groupBy("line").agg(F.count("*").alias("n"))
+    levels = line_dedup.word_levels(found)
+    near = line_dedup._near_lines(docs, line_dedup._shared_places(docs, lines, levels), levels)
+    assert near.count() < 100
+
+
+def test_lines_with_one_passage_meet_few_times(spark):
+    """Lines of different components that share a long passage meet in some of its places, as often as similar lines must and little oftener."""
+    shared, places = list(range(1000, 1200)), []
+    for i in range(30):
+        places.append((i, 400, 0, 0, 0, 0, i, [*(10 * i + k for k in range(3)), *shared]))
+    fields = "number bigint, n int, p0 bigint, p1 bigint, p2 bigint, p3 bigint, root bigint, places array<bigint>"
+    lines = spark.createDataFrame(places, fields).selectExpr("struct(number, n, p0, p1, p2, p3) as m", "root", "places")
+    met = line_dedup._apart(lines).collect()
+    assert len(met) == 30 * 29 // 2 and all(r["need"] <= r["times"] < 10 for r in met)  # were 200 each
+
+
 def test_word_levels_come_from_all_documents(spark):
     """More documents than were counted once, each with a word of its own and one that all have."""
     n = 12_000
