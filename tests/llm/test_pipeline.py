@@ -121,6 +121,20 @@ def test_texts_that_share_a_notice_are_no_group(spark):
     assert jaccard_join.jaccard_join(docs).filter("n_links > 0").count() == 0
 
 
+def test_dense_buckets_only_shrink(spark, monkeypatch):
+    """Texts that share most of their words, and near copies: no round of the dense buckets has more rows than the one before, and no link goes."""
+    rng, seen, counted = np.random.default_rng(10), [], jaccard_join._counted
+    monkeypatch.setattr(jaccard_join, "_counted", lambda rows: seen.append(rows.count()) or counted(rows))
+    notice = [f"notice{i}" for i in range(200)]
+    texts = [[*notice, *(f"own{x}" for x in rng.integers(0, 10**9, 130))] for _ in range(150)]
+    base = [f"base{i}" for i in range(300)]
+    texts += [[*base[:k], f"z{k}", *base[k + 1 :]] for k in range(0, 300, 10)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_join(docs).collect()}
+    assert found == {i: (i, 0) if i < 150 else (150, 29) for i in range(180)}
+    assert seen == sorted(seen, reverse=True)  # each split chose two tokens of each set
+
+
 SCRIPT = """
 import sys
 sys.path.insert(0, {root!r})

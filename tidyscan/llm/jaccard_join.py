@@ -6,12 +6,16 @@ Texts whose sets of five-word shingles have a Jaccard similarity of ``SIMILARITY
   of the wanted similarity share a chosen token with a chance of 1 - exp(-0.8) or more.  Runs have slices of the hash range of
   their own; all are made at once, as many as the target recall asks for (``runs_for``).  What a set
   chooses in all runs is its sample.
-* **Paths.**  Sets that chose the same token meet in a bucket.  A bucket of more than ``SMALL`` sets is split by a second chosen
-  token of each set's sample, and again; sets with few tokens take all of them.
-* **Small buckets** are brute-forced: their pairs pass if their samples agree enough.  Buckets that two splits don't make small
-  hold mostly near copies; their sets whose samples agree with the least set's are chained to it, and the rest, texts that
-  share a notice, say, are split on as long as that makes less of them, ``LEVELS`` times at most, and then chained.
-* Both kinds of edges make groups, and within a group **all** pairs are compared by exact Jaccard similarity, in blocks of
+* **Paths.**  Sets that chose the same token meet in a bucket.  Buckets of at most ``SMALL`` sets are brute-forced: their pairs pass
+  if their samples agree enough.
+* **Dense buckets** have more.  A set leaves them if less than ``PLAUSIBLE`` of its sample is in dense buckets: of any similar set it shares
+  more than that, so both have met in a small one.  What stays is counted again, so buckets only shrink and become small, and no round
+  has more rows than the one before.
+* **Hubs.**  Sets that still stay are held against the least set of each dense bucket, and chained to it if their samples agree.  Then
+  only buckets with sets of different chains are open, and a set stays for as long as enough of its sample is in open ones.
+* **All shingles.**  Of the few sets that stay all shingles are counted: a set leaves unless ``SIMILARITY`` of its shingles occur in other
+  chains, which texts that share a notice don't reach.  The rest, texts that are nearly similar, all to each other, is chained as it is.
+* All edges make groups, and within a group **all** pairs are compared by exact Jaccard similarity, in blocks of
   ``BLOCK`` sets.  A task sees two blocks at most and returns for each set its number of links and one edge to its component, never the pairs.
 
 Equal texts are one set with a multiplicity throughout.
@@ -25,7 +29,7 @@ Very long texts have a set of all their shingles, in one task's memory.  Of docu
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -33,17 +37,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, maybe_in, membership, settled, ship, text_of
+from .common import SIMILARITY, components, freed, maybe_in, membership, settled, ship, text_of
 from .shingles import WORD, portions, shingles
 
 ship(__name__)
 
 RECALL = 0.99999
-#: Sets in a bucket that is brute-forced, times that a larger one is split, chosen tokens of a set in a split.
-SMALL, LEVELS, CHILDREN = 16, 16, 2.0
-#: Split from which dense buckets are chained, and tokens of a sample up to which all are children.
-CHAINED_FROM, FEW = 2, 12
-#: Share of the samples' tokens below which a pair cannot plausibly have the wanted similarity.
+#: Sets in a bucket that is brute-forced, and times that what dense buckets hold is counted anew as long as it gets less.
+SMALL, ROUNDS = 16, 6
+#: Share of the samples' tokens, of both or of one, below which a pair cannot plausibly have the wanted similarity.
 PLAUSIBLE = 0.4
 #: Sets in a block, and columns of an incidence matrix.
 BLOCK, COLUMNS = 256, 4096
@@ -121,39 +123,62 @@ def _plausible(pairs: DataFrame, sets: DataFrame, runs: int) -> DataFrame:
     return near.filter(F.size(F.array_intersect("x", "y")) >= PLAUSIBLE * F.size(F.array_union("x", "y"))).select("a", "b")
 
 
-def _edges(sets: DataFrame, runs: int) -> DataFrame:
+def _staying(rows: DataFrame, share: float) -> DataFrame:
+    """The rows of the sets that have so much of their ``tokens`` among them."""
+    kept = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.any_value("tokens").alias("tokens")).filter(F.col("n") >= share * F.col("tokens"))
+    return rows.join(kept.select("key"), "key")
+
+
+def _rounds(rows: DataFrame, once: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows after as many rounds as leave less of them, ``ROUNDS`` at most; more would only leave less to compare."""
+    before = None
+    for _ in range(ROUNDS):
+        rows = settled(once(rows))
+        n = rows.count()
+        if not n or before is not None and n > 0.9 * before:
+            break
+        before = n
+    freed(rows.sparkSession)
+    return rows
+
+
+def _open(rows: DataFrame, share: float) -> DataFrame:
+    """Rows (path, key, tokens, root) of the sets that have so much in common with sets of other roots."""
+    several = rows.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("path")
+    return _staying(rows.join(several, "path"), share)
+
+
+def _to_hubs(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) from the least set of each path to its others."""
+    hubs = rows.groupBy("path").agg(F.min("key").alias("a"))
+    return rows.join(hubs, "path").filter("key <> a").select("a", F.col("key").alias("b")).distinct()
+
+
+def _edges(sets: DataFrame, runs: int, tokens: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Edges between sets that may be similar: pairs of small buckets, and chains through dense ones.
 
-    Sets of a dense bucket whose samples agree with those of its least set are chained to it; the others are split on, with
-    neither copies nor a passage that they share to keep them together.  What is dense after the last split is chained as it is."""
-    rows = sets.select(F.explode("sample").alias("path"), "key", "size")
-    found, chains, least = [], [], None
-    for level in range(LEVELS):
+    ``tokens`` gives rows (path, key) of all shingles of the sets with some keys; without it sets stay by their samples alone."""
+    found: list[DataFrame] = []
+
+    def dense(rows: DataFrame) -> DataFrame:
         bucketed = _counted(rows)
         found.append(_pairs(bucketed))
-        big = bucketed.filter(F.col("n") > SMALL).select("path", "key", "size")
-        if level >= CHAINED_FROM:
-            chained = big.join(big.groupBy("path").agg(F.min("key").alias("hub")), "path")
-            dense = big.count()
-            if not dense:
-                break
-            # sets that are nearly similar, all to each other, don't fall apart: their buckets would only become more
-            if level < LEVELS - 1 and (least is None or dense <= 1.2 * least):
-                least = min(dense, least or dense)
-                met = chained.filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
-                chains.append(settled(_plausible(met, sets, runs)))
-                near = chains[-1].select(F.col("a").alias("hub"), F.col("b").alias("key"))
-                big = settled(chained.filter("key <> hub").join(near, ["hub", "key"], "left_anti").select("path", "key", "size"))
-            else:
-                chains.append(chained.filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")))
-                break
-        split = big.join(sets.select("key", "sample"), "key")
-        # of few tokens all are children, so that no similar pair is lost by chance
-        chance = F.when(F.size("sample") <= FEW, 1.0).otherwise(CHILDREN / F.size("sample"))
-        chosen = F.filter("sample", lambda t: F.shiftrightunsigned(F.xxhash64(F.col("path"), t, F.lit(level)), 12).cast("double") < 2.0**52 * chance)
-        split = split.select("path", "key", "size", F.explode(chosen).alias("t"))
-        rows = split.select(F.xxhash64("path", "t").alias("path"), "key", "size").distinct()
-    return reduce(DataFrame.union, [_plausible(reduce(DataFrame.union, found).distinct(), sets, runs), *chains])
+        return _staying(bucketed.filter(F.col("n") > SMALL).drop("n"), PLAUSIBLE)
+
+    rows = _rounds(sets.select(F.explode("sample").alias("path"), "key", "size", F.size("sample").alias("tokens")), dense)
+    chains = settled(_plausible(_to_hubs(rows), sets, runs))
+    edges = _plausible(reduce(DataFrame.union, found).distinct(), sets, runs).union(chains)
+    if rows.isEmpty():
+        return edges
+    roots = components(chains).withColumnsRenamed({"node": "key"})
+    rooted = rows.join(roots, "key", "left").select("path", "key", "tokens", F.coalesce("root", "key").alias("root"))
+    rows = _rounds(rooted, lambda r: _open(r, PLAUSIBLE))
+    if tokens and not rows.isEmpty():
+        left = settled(rows.select("key", "root").distinct())
+        every = tokens(left).join(left, "key").join(sets.select("key", F.col("size").alias("tokens")), "key")
+        every = _rounds(every.select("path", "key", "tokens", "root"), lambda r: _open(r, SIMILARITY))
+        rows = rows.join(every.select("key").distinct(), "key", "left_semi")
+    return edges.union(_to_hubs(rows))
 
 
 def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -203,21 +228,27 @@ def linked_sets(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     sets = settled(_sets(docs, runs))
     texts = docs.select("doc_id", F.unhex(F.md5(text_of())).alias("key")).groupBy("key").agg(
         F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_id"))
-    groups = components(_edges(sets, runs)).withColumnsRenamed({"node": "key", "root": "grp"})
-    blocks = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = groups.join(blocks, "grp").select("key", "grp", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"))
-    placed = settled(placed)
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_pylist()
             for start, part in portions(batch.column(1).to_pylist()):
                 rows = {k: s.tobytes() for k, s in zip(keys[start : start + len(part)], shingle_sets(part))}
                 yield pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.binary()), pa.array(rows.values(), pa.binary())], names=["key", "tokens"])
 
-    number = F.xxhash64("key")
-    wanted = maybe_in(_keyed(docs), number, membership(number, placed))
-    held = wanted.mapInArrow(tokens, "key binary, tokens binary").groupBy("key").agg(F.any_value("tokens").alias("tokens"))
+    def held_of(wanted: DataFrame) -> DataFrame:
+        texts = maybe_in(_keyed(docs), F.xxhash64("key"), membership(F.xxhash64("key"), wanted)).dropDuplicates(["key"])
+        return texts.mapInArrow(shingled, "key binary, tokens binary")
+
+    def every(wanted: DataFrame) -> DataFrame:
+        at = F.sequence(F.lit(1), F.length("tokens"), F.lit(8))
+        return held_of(wanted).select("key", F.explode(F.transform(at, lambda i: F.substring("tokens", i, F.lit(8)))).alias("path"))
+
+    groups = components(_edges(sets, runs, every)).withColumnsRenamed({"node": "key", "root": "grp"})
+    blocks = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = groups.join(blocks, "grp").select("key", "grp", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"))
+    placed = settled(placed)
+    held = held_of(placed)
     # every two blocks of a group meet once: a block goes to all pairs (i, j) with i <= j that it is in
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
         F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), (F.col("block") > j).cast("int").alias("side")))
