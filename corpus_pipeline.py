@@ -1,6 +1,6 @@
 """A training corpus from raw documents: quality rules, line dedup, one of each group of near copies, decontamination, tokens.
 
-Each stage is written as Parquet and read again as the next one's documents; all but the last keep the columns of documents.
+Each stage is written as Parquet and read again as the next one's documents, then deleted; all but the last keep the columns of documents.
 The tables may have nulls, empty and very long texts, ties and repeated rows, or be empty; what a stage does with them stands in its
 operator's docstring.
 """
@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidyscan.llm import bpe, decontaminate, jaccard_join, line_dedup, quality_rules
-from tidyscan.llm.common import scratch, shared_folder, table
+from tidyscan.llm.common import dropped, freed, scratch, shared_folder, table
 from tidyscan.llm.queries import tokenizer_file
 
 
@@ -54,10 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}/{name}"
         with scratch(spark):  # what the stage settled goes when its result is written
-            stage(spark, docs, sf_dir).write.parquet(path)
+            stage(spark, docs, sf_dir).write.parquet(path, compression="zstd")
         docs = spark.read.parquet(path)
+        docs.settled_at = path
+        if before:  # the stage before was read for this one alone
+            dropped(before)
+        before = docs
+        freed(spark)
     return docs

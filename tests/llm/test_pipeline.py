@@ -5,12 +5,14 @@ import os
 import re
 import subprocess
 import sys
+from pathlib import Path
+from urllib.parse import urlsplit
 
 import numpy as np
 import pytest
 
 import tidyscan
-from tidyscan.llm import jaccard_join, quality_rules
+from tidyscan.llm import common, jaccard_join, line_dedup, quality_rules
 
 
 def test_known_accuracies_are_recovered():
@@ -109,6 +111,26 @@ def test_pipeline_equals_its_plain_form(spark, tmp_path):
     assert {tuple(r) for r in found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()} == want and len(want) > 10
 
 
+def test_operators_and_pipeline_leave_only_what_is_read(spark, tmp_path):
+    """What was settled on the way to a result is deleted, also without a scratch around it; of the pipeline's stages the last stays."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(300)]
+    data = [(i, "\n".join(" ".join(rng.choice(words, 14)) for _ in range(4)), "en", "s", 0) for i in range(8)]
+    docs = spark.createDataFrame([*data, *data], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    shared = Path(urlsplit(common.shared_folder(spark)).path)
+    for operator in (line_dedup.with_lines_left, jaccard_join.one_of_each):
+        before = set(shared.iterdir())
+        operator(docs).collect()
+        assert len(set(shared.iterdir()) - before) == 1  # were 8 and more
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "a b")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    before = set(shared.glob("pipeline-*/*"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() <= 8
+    assert [p.name for p in set(shared.glob("pipeline-*/*")) - before] == ["bpe_encoding"]
+
+
 def test_texts_that_share_a_notice_are_no_group(spark):
     """Hundreds of texts with one long notice and nothing else in common: no links, and no edges that make a group of them."""
     rng = np.random.default_rng(6)

@@ -37,7 +37,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SIMILARITY, components, freed, maybe_in, membership, settled, ship, text_of
+from .common import SIMILARITY, components, freed, maybe_in, membership, settled, settled_alone, ship, text_of
 from .shingles import WORD, portions, shingles
 
 ship(__name__)
@@ -266,7 +266,7 @@ def linked_sets(docs: DataFrame, recall: float = RECALL) -> DataFrame:
 
 def _classes(docs: DataFrame, recall: float) -> DataFrame:
     """Rows (key, size, n_links, class_id, class_key) of the distinct texts; class_key is the key of the text that has class_id."""
-    found = settled(linked_sets(docs, recall))
+    found = settled_alone(docs.sparkSession, lambda: linked_sets(docs, recall))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull().alias("no_id"), "least_id", "key")).alias("first"))
     return found.join(first, "root").select(
         "key", "size", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("first.least_id").alias("class_id"),
