@@ -9,7 +9,7 @@ Texts whose sets of five-word shingles have a Jaccard similarity of ``SIMILARITY
 * **Paths.**  Sets that chose the same token meet in a bucket.  Buckets of at most ``SMALL`` sets are brute-forced: their pairs pass
   if their samples agree enough.
 * **Dense buckets** have more.  A set leaves them if less than ``PLAUSIBLE`` of its sample is in dense buckets: of any similar set it shares
-  more than that, so both have met in a small one.  What stays is counted again, so buckets only shrink and become small, and no round
+  more than that but for chance, so both have met in a small one.  What stays is counted again, so buckets only shrink and become small, and no round
   has more rows than the one before.
 * **Hubs.**  Sets that still stay are held against the least set of each dense bucket, and chained to it if their samples agree.  Then
   only buckets with sets of different chains are open, and a set stays for as long as enough of its sample is in open ones.
