@@ -10,6 +10,7 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import tidyscan
 from tidyscan.llm import common, jaccard_join, line_dedup, quality_rules
@@ -157,6 +158,29 @@ def test_dense_buckets_only_shrink(spark, monkeypatch):
     assert seen == sorted(seen, reverse=True)  # each split chose two tokens of each set
 
 
+def test_shingles_of_staying_sets_are_made_once(spark):
+    """All shingles of the sets that stay in dense buckets were made four times in one query, and joined twice each."""
+    rng = np.random.default_rng(14)
+    notice = [f"notice{i}" for i in range(200)]
+    texts = [[*notice, *(f"own{x}" for x in rng.integers(0, 10**9, 180))] for _ in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    runs, made = jaccard_join.runs_for(jaccard_join.RECALL), spark.sparkContext.accumulator(0)
+    sets, asked = jaccard_join.settled(jaccard_join._sets(docs, runs)), []
+
+    def tokens(wanted):
+        def one(batches):
+            for batch in batches:
+                made.add(len(batch))
+                yield batch
+
+        asked.append(wanted.count())
+        rows = wanted.select(*wanted.columns, F.explode(F.array(*(F.lit(f"t{i}") for i in range(9)))).alias("path"))
+        return rows.mapInArrow(one, rows.schema)
+
+    jaccard_join._edges(sets, runs, tokens).count()
+    assert len(asked) == 1 and asked[0] > 0 and made.value == 9 * asked[0]
+
+
 SCRIPT = """
 import sys
 sys.path.insert(0, {root!r})

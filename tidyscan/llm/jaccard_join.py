@@ -157,7 +157,7 @@ def _to_hubs(rows: DataFrame) -> DataFrame:
 def _edges(sets: DataFrame, runs: int, tokens: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Edges between sets that may be similar: pairs of small buckets, and chains through dense ones.
 
-    ``tokens`` gives rows (path, key) of all shingles of the sets with some keys; without it sets stay by their samples alone."""
+    ``tokens`` gives of rows with a key each one once for every shingle (path) of its set; without it sets stay by their samples alone."""
     found: list[DataFrame] = []
 
     def dense(rows: DataFrame) -> DataFrame:
@@ -175,8 +175,8 @@ def _edges(sets: DataFrame, runs: int, tokens: Callable[[DataFrame], DataFrame]
     rows = _rounds(rooted, lambda r: _open(r, PLAUSIBLE))
     if tokens and not rows.isEmpty():
         left = settled(rows.select("key", "root").distinct())
-        every = tokens(left).join(left, "key").join(sets.select("key", F.col("size").alias("tokens")), "key")
-        every = _rounds(every.select("path", "key", "tokens", "root"), lambda r: _open(r, SIMILARITY))
+        every = settled(tokens(left.join(sets.select("key", F.col("size").alias("tokens")), "key")))
+        every = _rounds(every, lambda r: _open(r, SIMILARITY))
         rows = rows.join(every.select("key").distinct(), "key", "left_semi")
     return edges.union(_to_hubs(rows))
 
@@ -241,8 +241,9 @@ def linked_sets(docs: DataFrame, recall: float = RECALL) -> DataFrame:
         return texts.mapInArrow(shingled, "key binary, tokens binary")
 
     def every(wanted: DataFrame) -> DataFrame:
-        at = F.sequence(F.lit(1), F.length("tokens"), F.lit(8))
-        return held_of(wanted).select("key", F.explode(F.transform(at, lambda i: F.substring("tokens", i, F.lit(8)))).alias("path"))
+        at = F.sequence(F.lit(1), F.length("held"), F.lit(8))
+        held = held_of(wanted).withColumnRenamed("tokens", "held").join(wanted, "key")
+        return held.select(*wanted.columns, F.explode(F.transform(at, lambda i: F.substring("held", i, F.lit(8)))).alias("path"))
 
     groups = components(_edges(sets, runs, every)).withColumnsRenamed({"node": "key", "root": "grp"})
     blocks = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
