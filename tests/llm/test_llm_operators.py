@@ -359,6 +359,49 @@ def test_lines_with_one_passage_meet_few_times(spark):
     assert len(met) == 30 * 29 // 2 and all(r["need"] <= r["times"] < 10 for r in met)  # were 200 each
 
 
+def test_parities_differ_as_little_as_edits_allow():
+    """Random edits of lines with repeated words; a word that comes twice more isn't lost, as it was to parities of the words alone."""
+    rng = np.random.default_rng(12)
+
+    def parities(words):
+        p = line_dedup.Parsed([" ".join(words)])
+        portion = line_dedup.Portion(p, np.array([0]), np.zeros(line_dedup.WORD_SLOTS, np.uint8))
+        return [int(x[0]) & (2**64 - 1) for x in portion.parities(np.array([0]))]
+
+    def apart(a, b):
+        return sum((x ^ y).bit_count() for x, y in zip(parities(a), parities(b)))
+
+    for n in [5, 10, 23, 60, 200] * 8:
+        line = [f"w{i}" for i in rng.integers(0, max(n // 2, 5), n)]
+        near = list(line)
+        for kind in rng.integers(0, 3, n // 5):
+            at = int(rng.integers(0, len(near)))
+            near[at : at + int(kind != 1)] = [f"w{rng.integers(0, n)}"] * int(kind != 2)
+        long, short = max(len(line), len(near)), min(len(line), len(near))
+        if 5 * word_distance(line, near) <= long:
+            assert apart(line, near) <= 2 * (long // 5) - long + short
+    five = [f"w{i}" for i in range(5)]
+    assert apart(five, [*five, "w1", "w1"]) == 2
+
+
+def test_lines_that_share_three_quarters_of_their_words_are_no_pairs(spark):
+    """A passage of 60 words that many lines of 80 have: pairs that can't be similar aren't made, and what may be meets once."""
+    rng = np.random.default_rng(13)
+    passage = [f"p{i}" for i in range(60)]
+    lines = [[*passage, *(f"o{x}" for x in rng.integers(0, 10**9, 20))] for _ in range(60)]
+    lines += [[*passage, *(f"k{i}" for i in range(20 - k)), *(f"m{i}" for i in range(k))] for k in (0, 16)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id bigint, text string")
+    found = line_dedup.occurrences(docs).cache()
+    levels = line_dedup.word_levels(found)
+    seen = found.filter("line is not null").groupBy("line").agg(F.count("*").alias("n"))
+    near = line_dedup._near_lines(docs, line_dedup._shared_places(docs, seen, levels), levels)
+    assert near.count() == 62
+    rooted = near.select(F.struct("number", "n", *line_dedup._parities()).alias("m"), F.col("number").alias("root"), "places")
+    met = line_dedup._apart(rooted).collect()
+    assert 1 <= len(met) < 62 * 61 // 2 // 20  # were 1,891
+    assert [r["doc_id"] for r in line_dedup.line_dedup(docs).filter("n_removed > 0").collect()] == [61]
+
+
 def test_word_levels_come_from_all_documents(spark):
     """More documents than were counted once, each with a word of its own and one that all have."""
     n = 12_000
