@@ -402,6 +402,50 @@ def test_lines_that_share_three_quarters_of_their_words_are_no_pairs(spark):
     assert [r["doc_id"] for r in line_dedup.line_dedup(docs).filter("n_removed > 0").collect()] == [61]
 
 
+def test_lines_that_quote_a_short_passage_are_not_looked_at_again(spark):
+    """A passage of twelve words in unlike lines of ninety: they shared four of its runs, so all of them met each other."""
+    rng = np.random.default_rng(14)
+    passage, rows = [f"p{i}" for i in range(12)], []
+    for i in range(200):
+        at = int(rng.integers(0, 78))
+        words = [f"o{x}" for x in rng.integers(0, 10**9, 78)]
+        rows.append((i, " ".join([*words[:at], *passage, *words[at:]])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    lines = line_dedup.occurrences(docs).filter("line is not null").groupBy("line").agg(F.count("*").alias("n"))
+    levels = spark.sparkContext.broadcast(bytes(line_dedup.WORD_SLOTS))  # words in an order that doesn't put the passage last
+    assert line_dedup._near_lines(docs, line_dedup._shared_places(docs, lines, levels), levels).count() == 0
+
+
+def test_similar_lines_meet_whatever_places_many_lines_have():
+    """Random edits at the very edge: of the shared places that a line keeps, one at least is kept by each similar line."""
+    rng, looked = np.random.default_rng(15), 0
+    levels = np.zeros(line_dedup.WORD_SLOTS, np.uint8)
+    for n in [*range(5, 45), 59, 60, 61, 100, 149, 150] * 6:
+        line = [f"w{i}" for i in rng.integers(0, max(2 * n, 9), n)]
+        near = list(line)
+        kinds = rng.integers(0, 3, n // 5) if rng.random() < 0.5 else np.full(n // 5, rng.integers(0, 3))
+        for kind in kinds:
+            at = int(rng.integers(0, len(near)))
+            near[at : at + int(kind != 1)] = [f"x{rng.integers(0, n)}"] * int(kind != 2)
+        long = max(len(line), len(near))
+        if min(len(set(line)), len(set(near))) < line_dedup.LEAST_WORDS or word_distance(line, near) > long // 5:
+            continue
+        portion = line_dedup.Portion(line_dedup.Parsed([" ".join(line), " ".join(near)]), np.arange(2), levels)
+        sets = [set(portion.place[: portion.runs][portion.of[: portion.runs] == k].tolist()) for k in (0, 1)]
+        for share in (0.0, 0.3, 1.0):  # other lines have places in common with each, too
+            shared = np.array([p in sets[0] & sets[1] or p % 97 < 97 * share for p in portion.place.tolist()])
+            shared[portion.runs :] = False
+            place, of = portion.met(shared, portion.place % 3 == 0)
+            assert set(place[of == 0].tolist()) & set(place[of == 1].tolist()), (line, near, share)
+            looked += 1
+    assert looked > 400
+
+
+def test_the_map_of_shared_places_grows_with_them():
+    assert line_dedup._slices(0) == line_dedup.PLACE_SLICES
+    assert line_dedup._slices(20_000_000) == line_dedup._slices(10**12) == line_dedup.MOST_SLICES
+
+
 def test_word_levels_come_from_all_documents(spark):
     """More documents than were counted once, each with a word of its own and one that all have."""
     n = 12_000
