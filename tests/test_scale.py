@@ -132,6 +132,26 @@ def test_hot_keys_make_parts_that_can_be_split(spark, how):
     assert J.has_hot_key(spark.range(500).selectExpr("id % 250 AS k"), ["k"], 0) is False
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+def test_keys_of_many_pairs_are_dealt_to_a_grid(spark, how, monkeypatch):
+    """Missing keys on both sides, few rows that make most pairs: all went to one task.  Rows that repeat stay as often as they are."""
+    left = spark.range(1200).selectExpr("CASE WHEN id % 4 = 0 THEN NULL WHEN id % 7 = 0 THEN 5 ELSE id END AS k", "id % 500 AS a")
+    right = spark.range(600).selectExpr("CASE WHEN id % 5 = 0 THEN NULL WHEN id % 9 = 0 THEN 5 ELSE 2 * id END AS k", "CAST(id % 250 AS DOUBLE) AS b")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in conf.items():
+        spark.conf.set(name, value)
+    try:
+        plain = J.merge(left, right, how, ["k"], ["k"])
+        monkeypatch.setattr(J, "PAIRS_AT_ONCE", 500)
+        dealt = J.merge(left, right, how, ["k"], ["k"], small_bytes=0)
+        assert sorted(map(repr, dealt.collect())) == sorted(map(repr, plain.collect())) and dealt.dtypes == plain.dtypes
+        matched = dealt.filter("k IS NULL AND a IS NOT NULL AND b IS NOT NULL").groupBy(F.spark_partition_id()).count().collect()
+        assert len(matched) > 2 and max(r["count"] for r in matched) < 300 * 120 / 2  # was one task
+    finally:
+        for name in conf:
+            spark.conf.unset(name)
+
+
 def test_sparse_histogram_has_runs_of_empty_bins(spark):
     df = spark.range(400).selectExpr("CASE WHEN id = 7 THEN 5000.0D ELSE sqrt(id) END AS v")
     dense = {r["bin_no"]: r["count"] for r in U.histogram(df, "v", "fd").collect()}
